@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.keys import accession_key, annual_form, firm_key
 from panelwright.llm.encode import count_tokens, encode_corpus
 from panelwright.llm.mixing import mix_report, mix_sources
+from panelwright.llm.near import near_duplicates
 from panelwright.llm.survivors import best_fields, best_record
 from panelwright.session import cut
 
@@ -65,8 +66,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_shares(spark, sf_dir).filter("capped").select("plan_id", "source")
 
 
+def _near(spark: SparkSession, sf_dir: str):
+    for table, id_col, field in (("anchors", "anchor_id", "anchor_text"), ("snippets", "snippet_id", "snippet_text")):
+        yield field, near_duplicates(_read(spark, sf_dir, table).select(id_col, field), id_col, field, similarity=0.75, least_words=8)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [near.all_pairs().select(F.lit(field).alias("field"), "id_a", "id_b") for field, near in _near(spark, sf_dir)]
+    return found[0].unionByName(found[1])
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [near.per_text().withColumn("field", F.lit(field)) for field, near in _near(spark, sf_dir)]
+    return found[0].unionByName(found[1])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_best_record": p2_best_record, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_best_record": p2_best_record, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 _CIK = "regexp_replace(regexp_replace(regexp_replace(cik, '\\.0+([^0-9]*)$', '\\1'), '[^0-9]', '', 'g'), '^0+(.)', '\\1')"
