@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.keys import accession_key, annual_form, firm_key
 from panelwright.llm.encode import count_tokens, encode_corpus
+from panelwright.llm.language import identify, issues
 from panelwright.llm.mixing import mix_report, mix_sources
 from panelwright.llm.near import near_duplicates
 from panelwright.llm.survivors import best_fields, best_record
@@ -81,8 +82,20 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return issues(_languages(spark, sf_dir), "doc_id")
+
+
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_best_record": p2_best_record, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_best_record": p2_best_record, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_languages": p8_languages, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 _CIK = "regexp_replace(regexp_replace(regexp_replace(cik, '\\.0+([^0-9]*)$', '\\1'), '[^0-9]', '', 'g'), '^0+(.)', '\\1')"
