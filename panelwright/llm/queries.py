@@ -12,6 +12,7 @@ from panelwright.llm.encode import count_tokens, encode_corpus
 from panelwright.llm.language import identify, issues
 from panelwright.llm.mixing import mix_report, mix_sources
 from panelwright.llm.near import near_duplicates
+from panelwright.llm.split import split_items
 from panelwright.llm.survivors import best_fields, best_record
 from panelwright.session import cut
 
@@ -45,6 +46,16 @@ def p2_best_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_record(keyed, [f"key_{k}" for k in keys], usable=usable, **rank).select("key_cik", "key_accession_number", "record_id", "source_label")
 
 
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = _read(spark, sf_dir, "segments").select(F.lit("segment").alias("kind"), F.col("segment_id").alias("id"), "text", F.lit(900).alias("most"))
+    snippets = _read(spark, sf_dir, "snippets").select(F.lit("snippet").alias("kind"), F.col("snippet_id").alias("id"), F.col("snippet_text").alias("text"), F.col("max_prompt_chars").alias("most"))
+    return split_items(segments.unionByName(snippets), kind=F.col("kind"), item_id=F.col("id"), text=F.col("text"), limit=F.col("most"), overlap=90)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pieces(spark, sf_dir).filter("piece = 1").select("kind", "item_id", "boundary")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_read(spark, sf_dir, "documents"))
 
@@ -95,7 +106,7 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_best_record": p2_best_record, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_languages": p8_languages, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_best_record": p2_best_record, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_languages": p8_languages, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 _CIK = "regexp_replace(regexp_replace(regexp_replace(cik, '\\.0+([^0-9]*)$', '\\1'), '[^0-9]', '', 'g'), '^0+(.)', '\\1')"
