@@ -12,6 +12,7 @@ from panelwright.llm.encode import count_tokens, encode_corpus
 from panelwright.llm.language import identify, issues
 from panelwright.llm.mixing import mix_report, mix_sources
 from panelwright.llm.near import near_duplicates
+from panelwright.llm.responses import defects
 from panelwright.llm.split import split_items
 from panelwright.llm.survivors import best_fields, best_record
 from panelwright.session import cut
@@ -78,6 +79,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_shares(spark, sf_dir).filter("capped").select("plan_id", "source")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _read(spark, sf_dir, "responses").select("response_id", "prompt", "raw_response", "score_explanation")
+    return defects(pairs, row_id="response_id", prompt=F.col("prompt"), raw=F.col("raw_response"), explanation=F.col("score_explanation"))
+
+
 def _near(spark: SparkSession, sf_dir: str):
     for table, id_col, field in (("anchors", "anchor_id", "anchor_text"), ("snippets", "snippet_id", "snippet_text")):
         yield field, near_duplicates(_read(spark, sf_dir, table).select(id_col, field), id_col, field, similarity=0.75, least_words=8)
@@ -106,7 +112,7 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_best_record": p2_best_record, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_languages": p8_languages, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_best_record": p2_best_record, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_languages": p8_languages, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 _CIK = "regexp_replace(regexp_replace(regexp_replace(cik, '\\.0+([^0-9]*)$', '\\1'), '[^0-9]', '', 'g'), '^0+(.)', '\\1')"
