@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.plans import event_time
+from panelwright.plans import event_time, panel
 
-MODULES = [event_time]
+MODULES = [event_time, panel]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p1_found"](spark, sf_dir)
+    return queries()["firm_year_treatment_panel"](spark, sf_dir)
