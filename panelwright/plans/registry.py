@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.plans import event_time, panel
+from panelwright.plans import describe, event_time, manifest, panel
 
-MODULES = [event_time, panel]
+MODULES = [event_time, panel, describe, manifest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
