@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.plans import describe, event_time, manifest, panel
+from panelwright.plans import describe, event_time, manifest, panel, text
 
-MODULES = [event_time, panel, describe, manifest]
+MODULES = [event_time, panel, describe, manifest, text]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
