@@ -87,7 +87,7 @@ def two_effects(df: DataFrame, y: str, xs: list[str], first: str, second: str, c
     out = []
     for q, x in enumerate(xs):
         se = math.sqrt(total[f"v{q}"] * factor) if factor == factor else float("nan")
-        z = beta[q] / se if se else float("nan")
+        z = float(beta[q]) / se if se else float("nan")
         tss = yy - sy * sy / n
-        out.append({"term": x, "estimate": float(beta[q]), "std_error": se, "statistic": z, "p_value": math.erfc(abs(z) / math.sqrt(2)) if z == z else float("nan"), "n": n, "r2": 1 - total["rss"] / tss if tss else float("nan")})
+        out.append({"term": x, "estimate": float(beta[q]), "std_error": se, "statistic": z, "p_value": math.erfc(abs(z) / math.sqrt(2)) if z == z else float("nan"), "n": n, "r2": float(1 - total["rss"] / tss) if tss else float("nan")})
     return out
