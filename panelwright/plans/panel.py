@@ -156,11 +156,6 @@ def adoption_cohorts(spark, d):
     return _treated(spark, d).filter("adoption_year is not null").groupBy("adoption_year").agg(F.count_distinct("firm").alias("n_firms"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@add(f"WITH {SQL_UNIQUE}, s AS (SELECT firm, ai_score < lag(ai_score) OVER (PARTITION BY firm ORDER BY fyear) AS down FROM uniq WHERE ai_score IS NOT NULL) SELECT firm, count(*) FILTER (WHERE down) AS n_falls, coalesce(bool_or(down), FALSE) AS reversed FROM s GROUP BY firm")
-def reversal_check(spark, d):
-    return R.reversals(unique_panel(spark, d), "firm", "fyear", "ai_score")
-
-
 @add(f"""WITH {SQL_UNIQUE}, f AS (SELECT firm, min(CASE WHEN ai_adopted = 1 THEN year END) AS first_treated, max(ai_adoption_year) AS cohort FROM uniq GROUP BY firm)
     SELECT firm, CAST(first_treated AS INT) AS first_treated, CAST(cohort AS INT) AS cohort FROM f WHERE cohort IS NOT NULL AND coalesce(first_treated, 0) <> cohort""")
 def cohort_mismatch(spark, d):
@@ -224,12 +219,14 @@ def firms_without_history_anti(spark, d):
     return panel(spark, d).join(known, "firm", "left_anti").select("panel_id")
 
 
-# Paths: levels 0 to 2 of a firm's fiscal years.
-_LEVELS = f"{SQL_UNIQUE}, lv AS (SELECT firm, fyear, CAST(ai_score - 1 AS INT) AS level FROM uniq WHERE ai_score BETWEEN 1 AND 3)"
+# Paths: levels 0 to 2, a firm's highest usable score of a year less 1.
+_LEVELS = f"{SQL_UNIQUE}, lv AS (SELECT {sql_key('cik')} AS firm, year AS fyear, CAST(max(ai_score) - 1 AS INT) AS level FROM scored_filings WHERE ai_score BETWEEN 1 AND 3 AND year BETWEEN 1993 AND 2027 AND {sql_key('cik')} IS NOT NULL GROUP BY 1, 2)"
 
 
 def _levels(spark, d):
-    return unique_panel(spark, d).filter(X.is_in(F.col("ai_score"), [1, 2, 3])).select("firm", "fyear", (F.col("ai_score") - 1).alias("level"))
+    rows = table(spark, d, "scored_filings").filter(X.is_in(F.col("ai_score"), [1, 2, 3]) & F.col("year").between(1993, 2027))
+    rows = rows.select(firm_key(F.col("cik")).alias("firm"), F.col("year").alias("fyear"), "ai_score").filter("firm is not null")
+    return rows.groupBy("firm", "fyear").agg((F.max("ai_score") - 1).alias("level"))
 
 
 _SWITCH = f"""{_LEVELS}, ini AS (SELECT *, first_value(level) OVER (PARTITION BY firm ORDER BY fyear) AS f FROM lv),
@@ -256,6 +253,11 @@ def transition_counts(spark, d):
     return rounded(shares(H.transitions(_levels(spark, d), "firm", "fyear", "level"), ["before", "after"], ["before"]))
 
 
+@add(f"WITH {_LEVELS}, s AS (SELECT firm, level < lag(level) OVER (PARTITION BY firm ORDER BY fyear) AS down FROM lv) SELECT firm, count(*) FILTER (WHERE down) AS n_falls, coalesce(bool_or(down), FALSE) AS reversed FROM s GROUP BY firm")
+def reversal_check(spark, d):
+    return R.reversals(_levels(spark, d), "firm", "fyear", "level")
+
+
 @add(f"""WITH {_STEPS}, z AS (SELECT firm, min(CASE WHEN level = 0 THEN fyear END) AS y0 FROM lv GROUP BY firm), o AS (SELECT l.firm, min(l.fyear) AS y1 FROM lv l JOIN z USING (firm) WHERE level = 1 AND l.fyear > y0 GROUP BY l.firm),
     t AS (SELECT l.firm, TRUE AS ok FROM lv l JOIN o USING (firm) WHERE level = 2 AND l.fyear > y1 GROUP BY l.firm)
     SELECT s.firm, string_agg(CAST(level AS VARCHAR), '->' ORDER BY fyear) AS path, count(*) AS n_years, count(*) FILTER (WHERE level > before) AS n_up, count(*) FILTER (WHERE level < before) AS n_down,
