@@ -4,7 +4,7 @@ Each document of a source is to appear target / available times. The whole part
 inclusion probability that the cube method turns into 0 or 1. In its flight phase three undecided documents at a time move
 along the null space of the two constraints (number of documents, number of tokens) until one of them is decided, so both
 totals stay exactly as they were; at most two documents of a block remain. Blocks run in parallel; what remains of them is
-balanced again, block by block, and the last one or two documents of a source are the landing problem, decided by trial.
+balanced again, block by block, and the last one or two documents of a source are the landing problem, for which the constraint on tokens is dropped.
 """
 
 from __future__ import annotations
@@ -48,15 +48,22 @@ def flight(sizes: list[int], chances: list[float], rng: random.Random) -> list[f
     return out
 
 
-def landing(sizes: list[int], chances: list[float]) -> list[float]:
-    """Decides the at most few open units: the combination nearest to the tokens due, then to the documents due."""
-    open_units = [i for i, p in enumerate(chances) if 0.0 < p < 1.0]
-    tokens, documents = sum(sizes[i] * chances[i] for i in open_units), sum(chances[i] for i in open_units)
-    trials = ([mask >> k & 1 for k in range(len(open_units))] for mask in range(1 << len(open_units)))
-    best = min(trials, key=lambda t: (abs(sum(s * sizes[i] for s, i in zip(t, open_units)) - tokens), abs(sum(t) - documents), t))
+def landing(chances: list[float], rng: random.Random) -> list[float]:
+    """Decides the at most few open units: the constraint on tokens is dropped, so pairs move against each other with their
+    number kept, and the last one is drawn. Every unit keeps its chance."""
     out = list(chances)
-    for s, i in zip(best, open_units):
-        out[i] = float(s)
+    window: list[int] = []
+    for unit in [i for i, p in enumerate(out) if 0.0 < p < 1.0]:
+        window.append(unit)
+        if len(window) == 2:
+            a, b = window
+            up, down = min(1 - out[a], out[b]), min(out[a], 1 - out[b])
+            step = up if rng.random() * (up + down) < down else -down
+            for k, p in ((a, out[a] + step), (b, out[b] - step)):
+                out[k] = 0.0 if p <= _EPS else 1.0 if p >= 1 - _EPS else p
+            window = [k for k in window if 0.0 < out[k] < 1.0]
+    for k in window:
+        out[k] = float(rng.random() < out[k])
     return out
 
 
@@ -67,9 +74,10 @@ def _balance(seed: int, last: bool) -> Callable[[pa.Table], pa.Table]:
         table = table.sort_by([("__order", "ascending"), ("__id", "ascending")])
         first = [table.column(c)[0].as_py() for c in ("plan_id", "source", "__block")]
         sizes, chances = table.column("__tokens").to_pylist(), table.column("__chance").to_pylist()
-        chances = flight(sizes, chances, random.Random(f"{seed}/{first}/{last}"))
+        rng = random.Random(f"{seed}/{first}/{last}")
+        chances = flight(sizes, chances, rng)
         if last:
-            chances = landing(sizes, chances)
+            chances = landing(chances, rng)
         return table.set_column(table.schema.get_field_index("__chance"), "__chance", pa.array(chances, pa.float64()))
 
     return run
