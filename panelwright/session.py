@@ -48,6 +48,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that is heavy per row: dealt out anew where its files give fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def local_path(uri: str) -> str | None:
     """The plain path of a file: URI or None for other file systems."""
     if uri.startswith("file:"):
