@@ -219,32 +219,37 @@ def _split(hot: dict[int, int], rows: np.ndarray, anchors: np.ndarray, home: np.
     return rows[again], anchors[again], home[again], mine, np.minimum(mine, other), np.maximum(mine, other)
 
 
-def _compare(prints: np.ndarray, ids: np.ndarray, key: np.ndarray, doc: np.ndarray, home: np.ndarray, side: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of documents within limit bits at each key: (left, right, key), left always at home there."""
-    order = np.lexsort((~home, key))
+def _compare(prints: np.ndarray, sizes: np.ndarray, key: np.ndarray, doc: np.ndarray, home: np.ndarray, side: np.ndarray, limit: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """Pairs of documents within limit bits at each key: (left, right, key, sides), left always at home there.
+
+    The members of a key are in order of their set's size, so that a block of homes meets only those whose size allows the
+    similarity.
+    """
+    order = np.lexsort((sizes[doc], key))
     key, doc, home, side = key[order], doc[order], home[order], side[order]
     cut_at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.append(cut_at[1:], len(key))
     homes = np.add.reduceat(home.astype(np.int64), cut_at)
-    words = prints.view(np.uint64)
+    words, size = prints.view(np.uint64)[doc], sizes[doc]
+    one, two = np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])
+    busy = np.flatnonzero((homes > 0) & (ends - cut_at > 1))
     out = []
-    for begin, end, h, k in zip(cut_at.tolist(), ends.tolist(), homes.tolist(), range(len(cut_at))):
-        if not h or end - begin < 2:
-            continue
-        members = doc[begin:end]
-        all_words = words[members]
-        step = max(1, 4_000_000 // (end - begin))
-        for low in range(0, h, step):
-            some = all_words[low : min(h, low + step)]
-            far = np.bitwise_count(some[:, None, 0] ^ all_words[None, :, 0]).astype(np.uint8)
-            far += np.bitwise_count(some[:, None, 1] ^ all_words[None, :, 1])
-            i, j = np.nonzero(far <= limit)
-            i += low
-            # Of two homes each pair counts once; blocks of a split anchor are compared crosswise, or with themselves.
-            good = (i != j) & ((j >= h) | (i < j))
-            i, j = i[good], j[good]
-            if len(i):
-                out.append((members[i], members[j], np.full(len(i), key[begin]), side[begin + i], side[begin + j]))
+    for begin, end in zip(cut_at[busy].tolist(), ends[busy].tolist()):
+        at_home = begin + np.flatnonzero(home[begin:end])
+        step = max(1, min(64, 500_000 // (end - begin)))
+        for k in range(0, len(at_home), step):
+            some = at_home[k : k + step]
+            low = begin + int(np.searchsorted(size[begin:end], size[some[0]] * similarity - 1e-9))
+            high = begin + int(np.searchsorted(size[begin:end], size[some[-1]] / similarity + 1e-9, side="right"))
+            far = np.bitwise_count(one[some, None] ^ one[None, low:high])
+            far += np.bitwise_count(two[some, None] ^ two[None, low:high])
+            hit = np.flatnonzero(far.ravel() <= limit)
+            i, j = some[hit // (high - low)], low + hit % (high - low)
+            # Of two homes each pair counts once.
+            good = (i < j) | ((i != j) & ~home[j])
+            if good.any():
+                i, j = i[good], j[good]
+                out.append((doc[i], doc[j], key[i], side[i], side[j]))
     if not out:
         return (np.zeros(0, np.int64),) * 5
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -310,17 +315,20 @@ def near_duplicates(texts: DataFrame, id_col: str, text: str, similarity: float
     """
     spark = texts.sparkSession
     sets = cut(text_sets(texts, id_col, text, least_words), "sets")
-    classes = sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("f1").alias("f1"), F.max("f2").alias("f2"))
+    classes = sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("f1").alias("f1"), F.max("f2").alias("f2"), F.max("n").alias("n"))
     classes = cut(classes, "classes")
     members = sets.select("id", "k1", "k2").join(classes.select("k1", "k2", "rep", "copies"), ["k1", "k2"]).select("id", "rep", "copies")
     rows = classes.count()
     tables, extra = shape(rows)
     replicas = int(rows * tables * (5.33 + extra)) + 1
-    buckets = max(12, partitions_for(spark, replicas, BUCKET_REPLICAS))
+    # Comparing costs more than moving: a fixed number of partitions, which aren't merged for being small.
+    parts = max(12, 2 * spark.sparkContext.defaultParallelism, partitions_for(spark, replicas, BUCKET_REPLICAS))
+    buckets = 2 * parts
     # Bits in which a pair may differ before the exact check: the mean at the threshold and four and a half deviations.
     apart = (1 - similarity) / 2
     limit = int(BITS * apart + 4.5 * (BITS * apart * (1 - apart)) ** 0.5)
     code = Code(tables, extra)
+    wide = tables << (13 + extra) >= 1 << 32  # anchor numbers with the home bit need more than 32 bits
     prints_of = lambda batch: np.ascontiguousarray(np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], 1)).view(np.uint8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,35 +348,34 @@ def near_duplicates(texts: DataFrame, id_col: str, text: str, similarity: float
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, prints = batch.column(0).to_numpy(), prints_of(batch)
+            ids, prints, size = batch.column(0).to_numpy(), prints_of(batch), batch.column(3).to_numpy()
             row, anchor, home, side, low, high = _split(hot, *code.replicas(prints), ids)
             bucket = (mix64(((anchor.astype(np.uint64) << np.uint64(2 * BLOCK_BITS)) ^ (low << BLOCK_BITS ^ high).astype(np.uint64))) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in range(8)]
             for b in range(buckets):
                 some = order[edges[b] : edges[b + 1]]
                 if not len(some):
                     continue
                 docs, local = np.unique(row[some], return_inverse=True)
                 place = anchor[some].astype(np.int64) << 1 | home[some]
-                parts = (docs.size, ids[docs].tobytes(), prints[docs].tobytes(), place.tobytes() if tables << (12 + extra) >= 1 << 31 else place.astype("<u4").tobytes(), local.astype("<u2" if docs.size <= 65536 else "<u4").tobytes())
                 split = np.stack([side[some], low[some], high[some]], 1).astype("<u2").tobytes() if hot else b""
-                for column, value in zip(out, (b, *parts)):
+                record = (b, docs.size, ids[docs].tobytes(), prints[docs].tobytes(), size[docs].astype("<i4").tobytes(), place.astype("<i8" if wide else "<u4").tobytes(), local.astype("<u2" if docs.size <= 65536 else "<u4").tobytes(), split)
+                for column, value in zip(out, record):
                     column.append(value)
-                out[5][-1] = (parts[4], split)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.binary()) for x in out[2:5]), pa.array([x[0] for x in out[5]], pa.binary()), pa.array([x[1] for x in out[5]], pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k < 2 else pa.binary()) for k, x in enumerate(out)], schema.names)
 
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("docs", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("ids", "prints", "places", "locals", "splits"))])
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("docs", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("ids", "prints", "sizes", "places", "locals", "splits"))])
 
     def meet(table: pa.Table) -> pa.Table:
-        ids, prints, places, docs, splits, seen = [], [], [], [], [], 0
-        wide = tables << (12 + extra) >= 1 << 31
+        ids, prints, sizes, places, docs, splits, seen = [], [], [], [], [], [], 0
         for r in table.to_batches():
-            for n, i, p, a, d, s in zip(*(r.column(c).to_pylist() for c in ("docs", "ids", "prints", "places", "locals", "splits"))):
+            for n, i, p, z, a, d, s in zip(*(r.column(c).to_pylist() for c in schema.names[1:])):
                 ids.append(np.frombuffer(i, np.int64))
                 prints.append(np.frombuffer(p, np.uint8).reshape(-1, 16))
+                sizes.append(np.frombuffer(z, "<i4"))
                 places.append(np.frombuffer(a, "<i8" if wide else "<u4").astype(np.int64))
                 docs.append(np.frombuffer(d, "<u2" if n <= 65536 else "<u4").astype(np.int64) + seen)
                 splits.append(np.frombuffer(s, "<u2").reshape(-1, 3).astype(np.int64) if s else np.zeros((len(docs[-1]), 3), np.int64))
@@ -376,11 +383,11 @@ def near_duplicates(texts: DataFrame, id_col: str, text: str, similarity: float
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         if not ids:
             return empty
-        ids, prints, places, docs, splits = (np.concatenate(x) for x in (ids, prints, places, docs, splits))
+        ids, prints, sizes, places, docs, splits = (np.concatenate(x) for x in (ids, prints, sizes, places, docs, splits))
         prints = np.ascontiguousarray(prints)
         anchor, home = places >> 1, (places & 1).astype(bool)
         key = anchor << 2 * BLOCK_BITS | splits[:, 1] << BLOCK_BITS | splits[:, 2]
-        left, right, at, ls, rs = _compare(prints, ids, key, docs, home, splits[:, 0], limit)
+        left, right, at, ls, rs = _compare(prints, sizes, key, docs, home, splits[:, 0], limit, similarity)
         if not len(left):
             return empty
         low, high = (at >> BLOCK_BITS) & ((1 << BLOCK_BITS) - 1), at & ((1 << BLOCK_BITS) - 1)
@@ -392,8 +399,8 @@ def near_duplicates(texts: DataFrame, id_col: str, text: str, similarity: float
         found = np.unique(np.stack([ids[a[good]], ids[b[good]]], 1), axis=0)
         return pa.table({"a": pa.array(found[:, 0].copy()), "b": pa.array(found[:, 1].copy())})
 
-    blobs = classes.select("rep", "f1", "f2").mapInArrow(spread, schema)
-    candidates = blobs.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    blobs = classes.select("rep", "f1", "f2", "n").mapInArrow(spread, schema)
+    candidates = blobs.repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
     words = sets.select("id", "n", "words")
     one, two = words.toDF("a", "na", "wa"), words.toDF("b", "nb", "wb")
     both = candidates.join(one, "a").join(two, "b")
