@@ -8,6 +8,7 @@ The ids are those of the tokenizer whatever the lexicon holds: it decides the sp
 from __future__ import annotations
 
 import base64
+import dataclasses
 import functools
 import hashlib
 import itertools
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -200,33 +202,52 @@ def word_counts(df: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("count")).filter(F.col("count") >= least)
 
 
-def build_lexicon(spark: SparkSession, ranks_path: str, frequent: DataFrame | None = None, top: int = 100_000) -> str:
-    """Compile the lexicon into a file of the shared folder, once per content, and return its URI.
+@dataclasses.dataclass
+class Lexicon:
+    """Where workers find the compiled lexicon: a file to map into memory, or a broadcast copy where the shared folder isn't
+    a mounted file system. Its size is bounded by the vocabulary and top words."""
+
+    key: str
+    path: str | None
+    copy: Broadcast | None = None
+
+    def open(self) -> Transducer:
+        return Transducer.map(self.path) if self.path else self.copy.value
+
+
+def build_lexicon(spark: SparkSession, ranks_path: str, frequent: DataFrame | None = None, top: int = 100_000) -> Lexicon:
+    """Compile the lexicon, into a file of the shared folder once per content.
 
     frequent (word, count): further words, of which the top most counted are compiled with their exact ids; at most top
     rows reach the driver.
     """
-    digest = hashlib.sha256(open(ranks_path, "rb").read())
+    with open(ranks_path, "rb") as ranks:
+        digest = hashlib.sha256(ranks.read())
     words: list[bytes] = []
     if frequent is not None:
         rows = frequent.orderBy(F.desc("count"), "word").limit(top).select("word").toArrow().column(0).to_pylist()
         words = sorted(w for w in rows if len(w) <= 64)
         digest.update(b"\0".join(words))
-    uri = f"{shared_dir(spark)}/lexicon-{digest.hexdigest()[:24]}.bin"
-    path = local_path(uri)
-    if path is None or not os.path.exists(path):
-        merge = merger(ranks_path)
-        entries = whole_words(ranks_path) | {w: list(merge(w)) for w in words}
-        if path is None:
-            raise ValueError("the lexicon needs a shared folder that executors see as a mounted file system")
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        Transducer.build(entries).save(path)
-    return uri
+    key = digest.hexdigest()[:24]
+    path = local_path(f"{shared_dir(spark)}/lexicon-{key}.bin")
+    if path and os.path.exists(path):
+        return Lexicon(key, path)
+    merge = merger(ranks_path)
+    built = Transducer.build(whole_words(ranks_path) | {w: list(merge(w)) for w in words})
+    if path is None:
+        return Lexicon(key, None, spark.sparkContext.broadcast(built))
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    built.save(path)
+    return Lexicon(key, path)
 
 
-@functools.cache
-def _encoder(ranks_path: str, uri: str) -> Encoder:
-    return Encoder(ranks_path, Transducer.map(local_path(uri)))
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def _encoder(ranks_path: str, lexicon: Lexicon) -> Encoder:
+    if (ranks_path, lexicon.key) not in _ENCODERS:
+        _ENCODERS[ranks_path, lexicon.key] = Encoder(ranks_path, lexicon.open())
+    return _ENCODERS[ranks_path, lexicon.key]
 
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text: str = "text", ids: str = "ids", ranks_path: str | None = None, frequent: DataFrame | None = None) -> DataFrame:
@@ -236,12 +257,12 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text: str = "text", ids
     without rows gives none. Texts of any length are handled whole.
     """
     spark, ranks_path = df.sparkSession, ranks_path or tokenizer_path()
-    uri = build_lexicon(spark, ranks_path, frequent)
+    lexicon = build_lexicon(spark, ranks_path, frequent)
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField(ids, T.ArrayType(T.IntegerType(), True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, uri)
+        encoder = _encoder(ranks_path, lexicon)
         for batch in batches:
             offsets, values = encoder.encode(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
@@ -253,12 +274,12 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text: str = "text", ids
 def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = None, n_tokens: str = "n_tokens", ranks_path: str | None = None, frequent: DataFrame | None = None) -> DataFrame:
     """The kept columns and n_tokens BIGINT, the number of ids of the row's text (0 for null and empty)."""
     spark, ranks_path = df.sparkSession, ranks_path or tokenizer_path()
-    uri = build_lexicon(spark, ranks_path, frequent)
+    lexicon = build_lexicon(spark, ranks_path, frequent)
     keep = keep if keep is not None else [c for c in df.columns if c != text]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(n_tokens, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, uri)
+        encoder = _encoder(ranks_path, lexicon)
         for batch in batches:
             n = encoder.count(batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64())], [*keep, n_tokens])

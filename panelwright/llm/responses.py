@@ -280,4 +280,6 @@ def defects(pairs: DataFrame, *, row_id: str, prompt: Column, raw: Column, expla
             found = [defect(a, p, g, bool(m)) for a, p, g, m in zip(*(c.to_pylist() for c in batch.columns[1:]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], out.names)
 
-    return rows.select(row_id, "answer", "prompt", "goes_on", "__limit").mapInArrow(judge, out).filter("defect is not null")
+    # Judging costs far more than moving: enough partitions, which adaptive execution doesn't merge for being small.
+    parts = max(2 * pairs.sparkSession.sparkContext.defaultParallelism, partitions_for(pairs.sparkSession, told.count(), 50_000))
+    return rows.select(row_id, "answer", "prompt", "goes_on", "__limit").repartition(parts).mapInArrow(judge, out).filter("defect is not null")

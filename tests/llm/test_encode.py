@@ -111,3 +111,10 @@ def test_frequent_words_change_no_id(spark, reference):
     assert {bytes(r["word"]): r["count"] for r in counts.collect()}[b"Zarblex"] == 20
     got = {r["doc_id"]: r["ids"] for r in E.encode_corpus(df, frequent=counts).collect()}
     assert got == {i: reference.encode_ordinary(f"Zarblex counts {i} Zarblexes") for i in range(20)}
+
+
+def test_lexicon_without_a_mounted_folder(spark, reference, monkeypatch):
+    monkeypatch.setattr(E, "local_path", lambda uri: None)
+    lexicon = E.build_lexicon(spark, RANKS)
+    assert lexicon.path is None
+    assert lists(E.Encoder(RANKS, lexicon.open()), ["It's a station."]) == [reference.encode_ordinary("It's a station.")]
