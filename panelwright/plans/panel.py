@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import exprs as X
@@ -11,6 +10,7 @@ from panelwright.operators import contracts as C
 from panelwright.operators import panel as P
 from panelwright.operators import paths as H
 from panelwright.operators import treatment as R
+from panelwright.operators.manifest import dense_index
 from panelwright.plans.common import MEASURES, SQL_FILINGS, SQL_PANEL, SQL_UNIQUE, Registry, filings, panel, rounded, sql_key, table, unique_panel
 
 registry = Registry()
@@ -283,10 +283,8 @@ def pre_switch_baselines(spark, d):
 
 @add(f"""WITH {SQL_UNIQUE}, k AS (SELECT DISTINCT firm FROM uniq), ix AS (SELECT firm, CAST(row_number() OVER (ORDER BY firm) AS INT) AS firm_id FROM k) SELECT firm, fyear, firm_id FROM uniq JOIN ix USING (firm)""")
 def dense_firm_ids(spark, d):
-    """Dense ids over the table of distinct keys, joined back: the ordered window sees one row per firm only."""
     rows = unique_panel(spark, d).select("firm", "fyear")
-    ids = rows.select("firm").distinct().withColumn("firm_id", F.row_number().over(Window.orderBy("firm")))
-    return rows.join(ids, "firm")
+    return rows.join(dense_index(rows, "firm", "firm_id").withColumn("firm_id", F.col("firm_id").cast("int")), "firm")
 
 
 @add(f"""WITH {SQL_UNIQUE}, r AS (SELECT * FROM uniq WHERE has_ai_history AND ai_adoption_year IS NOT NULL AND (ai_adoption_year = 0 OR (ai_adoption_year >= 2016 AND year <= ai_adoption_year)))
