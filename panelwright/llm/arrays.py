@@ -89,7 +89,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, Ch
         yield low, Chunk(data, offsets, low, high)
 
 
-@functools.cache
+@functools.lru_cache(maxsize=12)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     base = np.uint64(0x9E3779B97F4A7C15)
     inverse = np.uint64(pow(int(base), -1, 1 << 64))
@@ -110,12 +110,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run values[begin:end]; equal runs have equal hashes wherever they stand."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    bits = max(12, int(len(values)).bit_length())
-    up, down = _powers(bits)
+def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, limit: int = CHUNK_CHARS) -> np.ndarray:
+    """64-bit hash of each run values[begin:end]; equal runs have equal hashes wherever they stand.
+
+    begin must ascend. Long arrays are handled in stretches of about limit values, so scratch memory stays bounded.
+    """
+    out = np.empty(len(begin), np.uint64)
+    low = 0
+    while low < len(begin):
+        origin = int(begin[low])
+        high = max(low + 1, int(np.searchsorted(end, origin + limit, side="right")))
+        out[low:high] = _hashes(values[origin : int(end[high - 1])], begin[low:high] - origin, end[low:high] - origin)
+        low = high
+    return out
+
+
+def _hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    up, down = _powers(max(12, int(len(values)).bit_length()))
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((values.astype(np.uint64) + np.uint64(0x51)) * up[: len(values)])])
         raw = (total[end] - total[begin]) * down[begin]

@@ -29,7 +29,7 @@ SPIKE_LEAST, SPIKE_TIMES, SPIKE_AROUND = 20, 8.0, 10
 COPY_WORDS, COPY_PAIRS = 0.85, 0.6
 
 # What stands for no content.
-PLACEHOLDERS = ["", "null", "none", "na", "n a", "nan", "nil", "empty", "blank", "undefined", "no answer", "no response", "no content", "not available", "not applicable", "tbd", "todo", "missing", "keine", "ninguno", "aucun", "無", "なし", "无"]
+PLACEHOLDERS = ["", "null", "none", "na", "n a", "nan", "nil", "empty", "blank", "undefined", "no answer", "no answer provided", "no output", "no response", "not provided", "no content", "not available", "not applicable", "tbd", "todo", "missing", "keine", "ninguno", "aucun", "無", "なし", "无"]
 # Names under which a score or its reasons are given.
 FIELD_WORDS = ["score", "rating", "grade", "level", "label", "answer", "ai", "ai_score", "final", "explanation", "reason", "reasons", "reasoning", "justification", "json", "result", "response"]
 

@@ -96,6 +96,17 @@ def test_run_hashes_depend_on_content_only():
     assert h[0] == h[1] != h[2]
 
 
+def test_run_hashes_in_stretches():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    values = rng.integers(0, 5, 3000)
+    begin = np.sort(rng.choice(2900, 400, replace=False))
+    end = np.minimum(begin + rng.integers(0, 60, 400), np.append(begin[1:], 3000))
+    whole = run_hashes(values, begin, end)
+    assert (whole == run_hashes(values, begin, end, 10)).all() and (whole == run_hashes(values, begin, end, 777)).all()
+
+
 def test_corpus(spark, reference):
     rows = [(1, "It's here.", "x"), (2, None, None), (3, "", "y"), (3, "", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
