@@ -22,12 +22,15 @@ from pyspark.sql import types as T
 
 from panelwright.llm.arrays import LETTER, Chunk, chunks, class_table, lower_table, mix64, ragged_index, run_hashes
 
-#: Documents that the classifier is fitted on, at most: half of them the same number for each label, half by frequency.
-SAMPLE_DOCUMENTS = 2400
-#: Labels considered, the most frequent ones, and the least share of the labelled documents that a label must have.
-MOST_LABELS, LEAST_SHARE = 40, 0.002
+#: Documents that the classifier is fitted on: half of them the same number for each label, half by frequency. A label
+#: gets LABEL_DOCUMENTS of its documents at least (all if it has fewer), so with over 20 labels the sample grows with them.
+SAMPLE_DOCUMENTS, LABEL_DOCUMENTS = 2400, 60
+#: Documents from which a label that is no code of a language counts as one; with fewer it is taken for a typing error.
+LEAST_DOCUMENTS = 20
 #: Hashed features.
 FEATURES = 1 << 17
+#: Letters times labels whose n-grams are scored at once.
+SCRATCH = 1_800_000
 #: Consecutive sentences that make a passage.
 PASSAGE = 3
 #: Letters from which a piece of text counts as a sentence of a passage, ideographs and kana counting three each.
@@ -43,6 +46,14 @@ THREE_LETTER = {
     "rum": "ro", "rus": "ru", "slk": "sk", "slo": "sk", "slv": "sl", "spa": "es", "srp": "sr", "swe": "sv", "tha": "th", "tur": "tr", "ukr": "uk", "vie": "vi",
 }
 
+# Two-letter codes of languages (ISO 639-1, with the former iw, ji and sh). No number of documents is too small for them.
+TWO_LETTER = """
+    aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy ga gd gl
+    gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu iw ja ji jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh
+    mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg sh si sk sl sm sn so sq sr ss st su
+    sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu
+""".split()
+
 
 def label_code(c: Column) -> Column:
     """Two-letter code of a label in any spelling (case, region, three letters); null for null, blank and ``und``."""
@@ -129,7 +140,7 @@ class Model:
         step = 0
         lengths = np.cumsum(end[first] - begin[first])
         while step < len(first):  # bounded scratch memory, also for very long words
-            stop = max(step + 1, int(np.searchsorted(lengths, (lengths[step - 1] if step else 0) + 200_000, side="right")))
+            stop = max(step + 1, int(np.searchsorted(lengths, (lengths[step - 1] if step else 0) + SCRATCH // k, side="right")))
             index, n = grams(code, begin[first[step:stop]], end[first[step:stop]], len(self.weights))
             scores[step:stop] = np.add.reduceat(self.weights[index], np.cumsum(n) - n, axis=0)
             counts[step:stop] = n
@@ -187,7 +198,8 @@ def train(texts: list[str], labels: list[str], features: int = FEATURES, epochs:
     """Model of the labels from labelled texts, whose sentences are the examples.
 
     Labels may be wrong and texts mixed. So training starts again without the texts that as a whole are taken for another
-    language than their label, and once more without sentences that surely are in another one. A tenth of the texts isn't trained on and sets the temperature.
+    language than their label, and once more without sentences that surely are in another one. A tenth of the texts isn't trained on and sets the temperature,
+    but labels with few texts keep them all for training.
     """
     names = sorted(set(labels))
     if not names:
@@ -214,13 +226,15 @@ def train(texts: list[str], labels: list[str], features: int = FEATURES, epochs:
     idf = (1 + np.log((1 + len(counts)) / (1 + np.bincount(seen, minlength=features)))).astype(np.float32)
     value = (idf[index] / np.sqrt(counts)[example]).astype(np.float32)
     rng = np.random.default_rng(seed)
-    held_out = rng.random(len(texts)) < 0.1
+    of_label = np.array([number[x] for x in labels])
+    held_out = (rng.random(len(texts)) < 0.1) & (np.bincount(of_label)[of_label] >= LEAST_DOCUMENTS)
     kept = ~held_out[text]
 
     def scores(weights: np.ndarray) -> np.ndarray:
         out = np.empty((len(counts), len(names)))
-        for low in range(0, len(counts), 2000):
-            high = min(len(counts), low + 2000)
+        some = max(1, 18_000 // len(names))  # bounded scratch memory, whatever the number of labels
+        for low in range(0, len(counts), some):
+            high = min(len(counts), low + some)
             part = slice(starts[low], starts[high - 1] + counts[high - 1])
             out[low:high] = np.add.reduceat(weights[index[part]] * value[part, None], starts[low:high] - starts[low], axis=0)
         return out
@@ -266,23 +280,23 @@ def train(texts: list[str], labels: list[str], features: int = FEATURES, epochs:
 
 
 def fit(df: DataFrame, text: str, label: str, id_col: str, documents: int = SAMPLE_DOCUMENTS) -> Model:
-    """Trains on at most documents rows of the most frequent labels, chosen by the hash of their id.
+    """Trains on about documents rows of all labels, chosen by the hash of their id, and LABEL_DOCUMENTS of each label at least.
 
-    Of a smaller table all rows are used. Labels are read by label_code; rows without one aren't trained on.
+    Of a smaller table all rows are used. Labels are read by label_code; rows without one aren't trained on, nor are those
+    with a label that is neither a code of a language nor on LEAST_DOCUMENTS rows.
     """
     rows = df.select(F.col(text).alias("t"), label_code(F.col(label)).alias("l"), F.xxhash64(F.col(id_col), F.lit(17)).alias("h")).filter(F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull())
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LABELS).collect()
+    counts = rows.groupBy("l").count().filter(F.col("l").isin(TWO_LETTER) | (F.col("count") >= LEAST_DOCUMENTS)).orderBy(F.desc("count"), "l").collect()
+    if not counts:
+        return train([], [])
     total = sum(r["count"] for r in counts)
-    counts = [r for r in counts if r["count"] >= LEAST_SHARE * total]
-    quota = {r["l"]: int(documents / 2 / len(counts) + documents / 2 * r["count"] / total) for r in counts}
-    chosen = None
+    quota = {r["l"]: max(min(LABEL_DOCUMENTS, documents), int(documents / 2 / len(counts) + documents / 2 * r["count"] / total)) for r in counts}
+    bounds = []
     for r in counts:
         # The hash is uniform, so this share of its range holds a little over the quota.
         share = min(1.0, 1.2 * quota[r["l"]] / r["count"])
-        some = (F.col("l") == r["l"]) & (F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
-        chosen = some if chosen is None else chosen | some
-    if chosen is None:
-        return train([], [])
+        bounds += [F.lit(r["l"]), F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)]
+    chosen = F.col("h") <= F.try_element_at(F.create_map(*bounds), F.col("l"))
     kept: dict[str, list[str]] = {}
     sample = rows.filter(chosen).select("l", "t", "h").toArrow().sort_by([("l", "ascending"), ("h", "ascending")])
     for name, body in zip(sample.column("l").to_pylist(), sample.column("t").to_pylist()):

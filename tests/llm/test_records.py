@@ -249,6 +249,29 @@ def test_language_of_nothing(spark):
     assert L.identify(unlabelled, "doc_id", "text", "lang").first()["lang"] == "und"
 
 
+def test_rare_label(spark):
+    rng = random.Random(5)
+    rows = [(i, body(rng, "en", 3), "englsh" if i < 3 else "en") for i in range(6000)] + [(6000 + i, body(rng, "de", 4), "de") for i in range(9)]
+    rows += [(7000, body(rng, "de", 4), None), (7001, body(rng, "de", 4), "en"), (7002, body(rng, "en", 4) + " " + body(rng, "de", 4), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df, "text", "lang", "doc_id")
+    assert model.labels == ["de", "en"]
+    got = L.issues(L.identify(df, "doc_id", "text", "lang", model), "doc_id").collect()
+    assert sorted(map(tuple, got)) == [(i, "wrong", "en") for i in range(3)] + [(7000, "missing", "de"), (7001, "wrong", "de"), (7002, "mixed", "de"), (7002, "mixed", "en")]
+
+
+def test_many_labels(spark):
+    rng = random.Random(6)
+    codes = "af ar az be bg bn bs ca cs cy da de el en eo es et eu fa fi fr ga gl hr hu hy id is it ja ka kk ko lt lv mk ms nl no pl pt ro ru sk sl sv ceb".split()
+    words = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüéèñçşğåøł") for _ in range(rng.randint(2, 8))) for _ in range(60)] for x in codes}
+    text = lambda x: " ".join(" ".join(rng.choice(words[x]) for _ in range(8)) + "." for _ in range(4))
+    rows = [(100 * i + j, text(x), x) for i, x in enumerate(words) for j in range(20 if x == "ceb" else 24)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    assert model.labels == sorted(words)
+    held = spark.createDataFrame([(i, text(x), x) for i, x in enumerate(words)], "doc_id long, text string, lang string")
+    assert L.identify(held, "doc_id", "text", "lang", model).filter("lang = label").count() == len(words)
+
+
 def test_held_out_accuracy():
     rng = random.Random(11)
     train = [(body(rng, lang, 6), lang) for lang in TEXTS for _ in range(40)]
