@@ -9,8 +9,10 @@ refusal, copied question, truncated, other language.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -60,9 +62,50 @@ FUNCTION_WORDS = {
     "pt": ["o", "os", "as", "que", "uma", "um", "do", "da", "não", "por", "com", "para", "em", "foram", "são", "já", "porque", "mas", "sem", "nesta", "ao", "se", "como", "apenas", "no", "na", "dos", "e"],
     "nl": ["de", "het", "een", "van", "en", "niet", "is", "dat", "voor", "met", "op", "zijn", "bij", "er", "die", "omdat", "wordt", "maar", "ook", "al", "aan", "alleen", "door", "zonder", "deze", "te", "naar", "om"],
 }
+# The same of further languages, which need three different words as evidence. Close relatives share a list or stay undecided between them.
+MORE_FUNCTION_WORDS = {
+    "pl": "i w z na do nie się jest że to jak ale za od przez dla po są oraz który która które już tylko jego być było może ponieważ bez przy lub także firma spółka",
+    "cs": "a v z na se je že to jak ale za od pro po jsou který která které již jen být bylo může protože bez při nebo také není byl byla jako však podle společnost",
+    "sk": "a v z na sa je že to ako ale za od pre po sú ktorý ktorá ktoré už len byť bolo môže pretože bez pri alebo tiež nie bol bola však podľa spoločnosť",
+    "hu": "a az és nem hogy egy is van volt de csak már meg ez ezt azt mert vagy mint még nincs vannak lehet szerint által ki el kell amely ami",
+    "ro": "și în de la nu este un o care pe cu din pentru că sunt mai dar ca a au fost sau doar deja fără prin această acest său ale al compania",
+    "sv": "och att det är en som för på av med inte den till har om ett var men kan från vid eller utan bara redan detta också därför sig enligt företaget",
+    "da": "og at det er en som for på af med ikke den til har om et var men kan fra ved eller uden kun allerede dette også fordi sig ifølge der",
+    "no": "og at det er en som for på av med ikke den til har om et var men kan fra ved eller uten bare allerede dette også fordi seg ifølge selskapet",
+    "is": "og að er sem á í ekki það við um til með en af fyrir var eru hefur þetta hún hann eða bara",
+    "fi": "ja on ei että se ovat oli mutta kuin myös joka vain jo tai kun koska ilman tämä sen ole yhtiö mukaan sitä hän niin voi",
+    "et": "ja on ei et see oli aga kui ka mis ainult juba või sest ilma selle ole ettevõte järgi ning kes seda",
+    "lv": "un ir ka no ar uz par nav bet kas tikai jau vai jo bez šis tas arī lai pēc tā uzņēmums",
+    "lt": "ir yra kad ne su į iš apie bet kuris tik jau ar nes be šis tai taip pat dėl pagal jis nėra bendrovė",
+    "tr": "ve bir bu da de için ile olarak değil olan çok daha ama var yok gibi veya şirket ancak kadar sadece çünkü olduğu göre",
+    "az": "və bir bu da də üçün ilə deyil olan çox daha amma var yox kimi və ya şirkət yalnız çünki görə",
+    "hr": "i u na je se da nije su za od s koji koja koje ali samo već bez ili kao što bi biti jer prema kako društvo",
+    "sl": "in v na je se da ni so za od s ki pa le že brez ali kot bi biti ker po kako podjetje tudi",
+    "sq": "dhe në e të i një që është nuk me për nga por ka janë vetëm ose si kjo ky sepse pa",
+    "ca": "i el la els les que de del un una per amb no és en són però sense com ja només aquesta aquest perquè més dels ha han",
+    "id": "yang dan di ke dari untuk dengan tidak ini itu pada adalah akan telah sudah hanya karena oleh juga atau belum perusahaan dalam",
+    "tl": "ang ng sa na mga ay at hindi ito para may lang dahil kung ni si nito kumpanya",
+    "sw": "na ya wa kwa ni katika la za hii hiyo lakini kuwa si kama pia tu bila kwamba kampuni",
+    "vi": "và của là không có trong cho với được các một này đã những vì chỉ từ để công ty nhưng khi",
+    "ru": "и в не на что с по это как но из у за от для о к же только уже или так был была были компания которые который без при потому",
+    "uk": "і в не на що з по це як але із у за від для про до же тільки вже або так був була були компанія які який без при тому та",
+    "be": "і ў не на што з па гэта як але за ад для пра да толькі ўжо або быў была былі які якія без кампанія",
+    "bg": "и в не на че с по това как но от за към само вече или така беше са компанията които който без при защото се да",
+    "sr": "и у не на да с по то како али из за од само већ или је су био била компанија које који без при јер се није",
+    "ar": "في من على إلى أن لا ما هذا هذه التي الذي عن مع كان هو هي قد لم أو ثم بعد قبل فقط لأن الشركة",
+    "fa": "و در به از که این است را با برای آن نیست شده می بر تا یک اما یا هم فقط زیرا شرکت",
+    "ur": "اور میں کے کی کا ہے سے کو نے نہیں یہ کہ پر بھی تھا ہیں ایک صرف کیونکہ کمپنی",
+}
+_MORE = {k: frozenset(v.split()) for k, v in MORE_FUNCTION_WORDS.items()}
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
-
-_ENDS = ".!?。！？…"
+_LANGUAGES_OF: dict[str, list[str]] = {}
+for _name, _group in (_SETS | _MORE).items():
+    for _word in _group:
+        _LANGUAGES_OF.setdefault(_word, []).append(_name)
+
+_ENDS = ".!?。！？…।॥۔؟։።။។"
+#: Scripts that write no mark at the end of a sentence: there only a longer version or a length limit tells.
+_UNMARKED = ("THAI", "LAO")
 _CLOSERS = "\"'”’」』)）]*_`»"
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+")
 _REFUSAL = re.compile("|".join(REFUSALS))
@@ -76,21 +119,52 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def language(text: str) -> str | None:
-    """Language by script and function words, or None where they don't tell."""
-    kana = len(re.findall("[぀-ヿ]", text))
-    han = len(re.findall("[㐀-鿿]", text))
-    letters = sum(c.isalpha() for c in text)
-    if letters and (kana + han) > 0.3 * letters:
-        return "ja" if kana > 0.1 * (kana + han) else "zh"
+@functools.cache
+def _script_of(c: str) -> str:
+    name = unicodedata.name(c, "").split() or [""]
+    first = name[1] if name[0] in ("FULLWIDTH", "HALFWIDTH") and len(name) > 1 else name[0]
+    return "HAN" if first in ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "IDEOGRAPHIC") else first
+
+
+def script(text: str) -> str | None:
+    """Script of most letters, or None with too few: six, of Latin, which other scripts borrow from, five words."""
+    count: Counter[str] = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            count["LATIN" if c.isascii() else _script_of(c)] += n
+    if not count:
+        return None
+    total = sum(count.values())
+    if count["HAN"] > 0.3 * total:
+        return "HAN"
+    name, n = count.most_common(1)[0]
+    if n <= 0.5 * total or n < 6 or name == "LATIN" and len(re.findall(r"[^\W\d_]{2,}", text)) < 5:
+        return None
+    return name
+
+
+def languages(text: str) -> frozenset[str]:
+    """Languages that the text may be in, by script and function words; more than one where relatives are as likely, none
+    where they don't tell."""
+    if not text.isascii():
+        kana = len(re.findall("[぀-ヿ]", text))
+        han = len(re.findall("[㐀-鿿]", text))
+        if kana + han and kana + han > 0.3 * sum(c.isalpha() for c in text):
+            return frozenset(["ja" if kana > 0.1 * (kana + han) else "zh"])
     words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", text.lower())
     parts = [p for w in words for p in (w, *w.split("'"))] if "'" in text or "’" in text else words
     count = Counter(parts)
-    hits = sorted(((sum(count[w] for w in group), name) for name, group in _SETS.items()), reverse=True)
-    (best, name), (second, _) = hits[0], hits[1]
-    if best >= 2 and best >= 0.08 * len(words) and best > second * 1.15:
-        return name
-    return None
+    hits, more = dict.fromkeys(_SETS, 0), dict.fromkeys(_MORE, 0)
+    for w, n in count.items():
+        for x in _LANGUAGES_OF.get(w, ()):
+            (hits if x in hits else more)[x] += n
+    (best, name), (second, _) = sorted(((n, name) for name, n in hits.items()), reverse=True)[:2]
+    top = max(best, *more.values())
+    if best >= 2 and best >= 0.08 * len(words) and best > second * 1.15 and 1.15 * best >= top:
+        return frozenset([name, *(x for x, n in more.items() if n * 1.15 >= top)])
+    close = [x for x, n in (hits | more).items() if n * 1.15 >= top]
+    sure = any(len((_SETS | _MORE)[x] & count.keys()) >= 3 for x in close) and top >= 0.12 * len(words)
+    return frozenset(close) if sure else frozenset()
 
 
 def content(answer: str) -> str:
@@ -200,17 +274,23 @@ def is_truncated(answer: str, goes_on: str | None, at_limit: bool) -> bool:
     """goes_on: how a longer version continues, if there is one; at_limit: the answer has the length of a limit."""
     if open_structure(answer):
         return True
-    if unfinished(answer):
-        return True
     text = answer.rstrip()
+    if unfinished(answer):
+        return at_limit or bool(goes_on) or _script_of(text.rstrip(_CLOSERS + "}")[-1:] or " ") not in _UNMARKED
     if goes_on and not goes_on[:1].isspace() and goes_on[:1].isalnum() and text[-1:].isascii():
         return True
     return bool(_ABBREVIATED.search(text)) and (at_limit or bool(goes_on))
 
 
 def other_language(answer: str, prompt: str) -> bool:
-    own, asked = language(content(answer)), language(prompt)
-    return own is not None and asked is not None and own != asked
+    """In another script than the prompt, or in a language that the prompt can't be in. Languages of one script are told
+    apart as far as FUNCTION_WORDS and MORE_FUNCTION_WORDS know them; of Han, Japanese and Chinese."""
+    body = content(answer)
+    own, asked = script(body), script(prompt)
+    if own and asked and own != asked:
+        return True
+    mine = languages(body)
+    return bool(mine) and bool(theirs := languages(prompt)) and mine.isdisjoint(theirs)
 
 
 def defect(answer: str | None, prompt: str | None, goes_on: str | None = None, at_limit: bool = False) -> str | None:

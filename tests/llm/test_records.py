@@ -126,6 +126,29 @@ def test_defect(answer, want):
     assert R.defect(answer, PROMPT) == want
 
 
+FOREIGN = {
+    "ru": "Оценка равна двум, потому что компания уже использует языковую модель и сообщает о результатах.", "uk": "Оцінка дорівнює двом, тому що компанія вже використовує модель і повідомляє про це.", "el": "Η βαθμολογία είναι δύο επειδή η εταιρεία χρησιμοποιεί ήδη το μοντέλο.",
+    "ko": "회사가 이미 언어 모델을 사용하고 있으므로 점수는 2점입니다.", "ar": "الدرجة هي اثنان لأن الشركة تستخدم النموذج بالفعل في هذه المصانع.", "fa": "امتیاز دو است زیرا شرکت از این مدل در کارخانه استفاده می کند.", "he": "הציון הוא שתיים כי החברה כבר משתמשת במודל.", "hi": "कंपनी पहले से ही भाषा मॉडल का उपयोग कर रही है।", "th": "บริษัทใช้แบบจำลองภาษาอยู่แล้ว",
+    "pl": "Ocena wynosi 2, ponieważ spółka już używa modelu językowego i nie jest to tylko plan.", "sv": "Betyget är 2 eftersom företaget redan använder en språkmodell och det är inte bara en plan.", "da": "Karakteren er 2, fordi selskabet allerede bruger en sprogmodel, og det er ikke kun en plan.",
+    "fi": "Arvosana on 2, koska yhtiö käyttää jo kielimallia ja se ei ole vain suunnitelma.", "tr": "Puan 2 olarak verildi çünkü şirket bu modeli zaten kullanıyor ve bu sadece bir plan değil.", "cs": "Známka je 2, protože společnost již používá jazykový model a není to jen plán.", "hu": "Az osztályzat 2, mert a vállalat már használ egy nyelvi modellt, és ez nem csak terv.", "vi": "Điểm là 2 vì công ty đã sử dụng mô hình này và đây không chỉ là kế hoạch.",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(FOREIGN))
+def test_answer_in_any_language(lang):
+    answer = "The filing describes a running tool. The company cannot quantify its benefit."
+    assert R.defect(FOREIGN[lang], PROMPT) == "other_language" and R.defect(answer, FOREIGN[lang]) == "other_language"
+    assert not R.other_language(FOREIGN[lang], FOREIGN[lang])
+    assert R.other_language(FOREIGN[lang], FOREIGN["pl" if lang in ("ru", "uk") else "ru"]) and R.other_language(FOREIGN[lang], FOREIGN["hu" if lang == "pl" else "pl"])
+
+
+def test_languages_of_one_script():
+    assert R.other_language(FOREIGN["uk"], FOREIGN["ru"]) and R.other_language(FOREIGN["fa"], FOREIGN["ar"]) and R.other_language(FOREIGN["fi"], FOREIGN["sv"])
+    for answer in ("No plan, no pilot.", "β, γ and δ", "AI: 2", "Sales, costs, plants, boards."):
+        assert not R.other_language(answer, PROMPT)
+    assert not R.other_language("AI, OCR, ERP", FOREIGN["ru"])
+
+
 def test_answer_behind_a_score():
     for raw in ("2", " 2\n", "**2**", "Score: 2", '{"score": 2}'):
         assert R.answer_of(raw, "why") == "why"
