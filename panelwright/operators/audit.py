@@ -8,6 +8,34 @@ from pyspark.sql import functions as F
 #: Names of the patterns that audit_windows takes; values are Java regular expressions, case ignored by (?i).
 PATTERNS = ("strong", "broad", "operational", "first_person", "low_value", "adoption", "market")
 
+_AI = (
+    r"\b(?:artificial intelligence|machine learning|deep learning|neural networks?|artificial neural networks?|computer vision|natural language processing|natural language understanding|machine translation|"
+    r"generative ai|genai|large language models?|foundation models?|transformer models?|conversational ai|virtual assistants?|copilots?|ai assistants?|ai agents?|agentic ai|llms?)\b"
+)
+_ADOPT = (
+    r"\b(?:use|uses|used|using|leverage|leverages|leveraged|leveraging|apply|applies|applied|applying|adopt|adopts|adopted|adopting|deploy|deploys|deployed|deploying|integrate|integrates|integrated|integrating|"
+    r"embed|embeds|embedded|embedding|power|powers|powered|powering|enable|enables|enabled|enabling|build|builds|built|building|develop|develops|developed|developing)\b"
+)
+# The full patterns of the audit of filings.
+DEFAULT_PATTERNS = {
+    "strong": f"(?iU){_AI}",
+    "broad": r"(?iU)\b(?:big data|business intelligence|data science|data scientists?|predictive analytics?|recommendation engines?|expert systems?|data mining|pattern recognition|anomaly detection|decision engines?|fraud detection|recommender systems?)\b",
+    "operational": (
+        r"(?iU)\b(?:use|uses|used|using|deploy|deploys|deployed|deployment|implemented|implements|integrated|integrates|integration|embedded|operates|operational|automate|automates|automated|recommend|recommends|detect|detects|"
+        r"forecast|forecasts|predict|predicts|optimize|optimizes|personalize|personalizes|supports?|provides?|offers?|delivers?|powers?|enables?|allowing|facilitates?|built|builds|based on)\b"
+    ),
+    "first_person": r"(?iU)\b(?:we|our|company|business|businesses|firm|products?|services?|platforms?|systems?|tools?|applications?|solution|solutions)\b",
+    "low_value": (
+        r"(?iU)\b(?:risk|risks|could|may|might|intend|intends|plan|plans|future|potential|regulation|regulatory|competition|competitors|cybersecurity|pilot|pilots|proof of concept|experiment|experiments|research|market|industry|"
+        r"demand|opportunity|opportunities|expect|expects|expected|forecast|litigation|lawsuit|alleging|unauthorized|copied|copying)\b"
+    ),
+    "adoption": f"(?iU)(?:{_ADOPT}.{{0,80}}{_AI}|{_AI}.{{0,80}}{_ADOPT}|" + r"\b(?:ai-powered|ai/ml-powered|machine learning-powered|powered by artificial intelligence|powered by machine learning)\b)",
+    "market": (
+        r"(?iU)\b(?:applications? for|applications? in|targeting|targeted|target|markets? for|market|industry|customers?|opportunity|opportunities|growth markets?|focus on|focused on|invest in|investing in|"
+        r"litigation|lawsuit|regulation|regulatory|competition|driving demand|trend|trends)\b"
+    ),
+}
+
 
 def sentence_rows(df: DataFrame, key: str, text: str, split: str = r"(?<=[.!?;])\s+") -> DataFrame:
     """(key, sentence_index, sentence) of the text with white space collapsed; blank sentences left out."""

@@ -16,7 +16,7 @@ from panelwright.plans.common import Registry, table
 registry = Registry()
 add = registry.add
 
-#: Lexicon of plain words for the queries with SQL.
+#: Lexicon of plain words for the queries with SQL. The whole job is in the queries named *_full, over DEFAULT_TERMS and DEFAULT_PATTERNS.
 SIMPLE = [Term(w.replace(" ", "_"), w, "plain", 5, 5, True) for w in ("speech recognition", "artificial intelligence", "a limited pilot", "risk")]
 _WORDS = "|".join(t.pattern for t in SIMPLE)
 
@@ -63,6 +63,31 @@ def windows_to_filing(spark, d):
     return W.join_texts(W.keyword_windows(table(spark, d, "documents"), ["doc_id"], "text", SIMPLE, 1), ["doc_id"], "window_text", ["window_id"])
 
 
+@add()
+def lexicon_hits_full(spark, d):
+    """The SQL engine lacks lookarounds; tested by brute force."""
+    return W.lexicon_hits(table(spark, d, "documents"), ["doc_id"], "text", DEFAULT_TERMS).groupBy("doc_id", "term", "matched").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add()
+def keyword_windows_full(spark, d):
+    """As lexicon_hits_full."""
+    return W.keyword_windows(table(spark, d, "documents"), ["doc_id"], "text", DEFAULT_TERMS, 1)
+
+
+@add()
+def no_hit_sentinels_full(spark, d):
+    """As lexicon_hits_full."""
+    rows = W.with_sentinels(table(spark, d, "documents"), ["doc_id"], "text", DEFAULT_TERMS, 1)
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("window_id") > 0).alias("windows"))
+
+
+@add()
+def windows_to_filing_full(spark, d):
+    """As lexicon_hits_full."""
+    return W.join_texts(W.keyword_windows(table(spark, d, "documents"), ["doc_id"], "text", DEFAULT_TERMS, 1), ["doc_id"], "window_text", ["window_id"])
+
+
 @add("""WITH iv AS (SELECT accession_number, cik, seg_position AS a, seg_position + 1 AS b FROM segments WHERE text LIKE '%intelligence%' AND seg_position IS NOT NULL), f AS (SELECT *, CASE WHEN a > max(b) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS nw FROM iv WINDOW w AS (PARTITION BY accession_number, cik ORDER BY a, b)),
     g AS (SELECT *, sum(nw) OVER (PARTITION BY accession_number, cik ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM f) SELECT accession_number, cik, CAST(min(a) AS INT) AS a, CAST(max(b) AS INT) AS b, count(*) AS n_intervals FROM g GROUP BY accession_number, cik, k""")
 def merged_intervals(spark, d):
@@ -135,6 +160,18 @@ def heuristic_audit(spark, d):
     return A.audit_texts(table(spark, d, "documents"), "doc_id", "text", _PATTERNS).select("doc_id", "label", "top_score", "strong_windows", "candidates")
 
 
+@add()
+def audit_windows_full(spark, d):
+    """Tested by brute force."""
+    return A.audit_windows(table(spark, d, "documents"), "doc_id", "text", A.DEFAULT_PATTERNS).drop("sentence")
+
+
+@add()
+def heuristic_audit_full(spark, d):
+    """Tested by brute force."""
+    return A.audit_texts(table(spark, d, "documents"), "doc_id", "text", A.DEFAULT_PATTERNS)
+
+
 def _reason():
     return F.when(F.col("parse_status") != "ok", "llm_parse_failure").when((F.col("ai_score") == 1) & (F.col("keyword_hits") > 5), "zero_score_many_keywords").when(F.col("ai_score") == 2, "low_positive_score")
 

@@ -1,7 +1,10 @@
 """Text operators on literals."""
 
+import re
+
 import pytest
 
+from panelwright.operators import audit as A
 from panelwright.operators import evidence as E
 from panelwright.operators import scoring as S
 from panelwright.operators import text as W
@@ -56,6 +59,71 @@ def test_windows_of_nothing():
     assert W.windows("", M.all_terms, 1) == [] and W.windows("no hit", M.all_terms, 1) == []
 
 
+FILINGS = [
+    "Nothing here. We rely on Machine Learning daily. It works! The lease ends. Costs fell. Artificial Intelligence and LLMs are named; GPT-4 too.",
+    "No term at all. Only leases.", "", None, "speech recognition. a limited pilot. risk.", "Our chatbot uses large-language models. More.\nText with ML. End.",
+    "Our platform uses deep learning. It is in production.", "Big data supports our services. The market grows.", "AI-powered tools are a risk. Could be. May be. Market demand for neural networks.", "Fraud detection. é. Data mining is a trend.", "Copilots may help us, and we build tools with natural language understanding.",
+]
+
+
+@pytest.fixture
+def filings(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(FILINGS)), "doc_id int, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_full_lexicon_queries(spark, filings):
+    from panelwright.plans.registry import queries
+
+    rows = lambda name: [r.asDict() for r in queries()[name](spark, filings).collect()]
+    want: dict = {}
+    for i, text in enumerate(FILINGS):
+        low = {(m.start(), m.end()): m.group() for t in DEFAULT_TERMS for m in re.finditer(t.pattern, text or "", 0 if t.exact_case else re.I)}
+        kept = [s for s in low if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in low)]
+        for s in kept:
+            want[i, low[s]] = want.get((i, low[s]), 0) + 1
+    hits: dict = {}
+    for r in rows("lexicon_hits_full"):
+        hits[r["doc_id"], r["matched"]] = hits.get((r["doc_id"], r["matched"]), 0) + r["n"]
+    assert hits == want and (0, "Machine Learning") in want and (0, "GPT-4") in want
+    per_doc = {i: sum(n for (d, _), n in want.items() if d == i) for i in range(len(FILINGS))}
+    windows = rows("keyword_windows_full")
+    assert {i: sum(r["keyword_hit_count"] for r in windows if r["doc_id"] == i) for i in per_doc} == per_doc
+    counts = {r["doc_id"]: r["windows"] for r in rows("no_hit_sentinels_full")}
+    assert {i for i, n in counts.items() if n} == {i for i, n in per_doc.items() if n} and len(counts) == len(FILINGS)
+    joined = {r["doc_id"]: r["combined_text"] for r in rows("windows_to_filing_full")}
+    assert set(joined) == {i for i, n in per_doc.items() if n} and "GPT-4 too." in joined[0]
+
+
+def test_full_audit_queries(spark, filings):
+    from panelwright.plans.registry import queries
+
+    patterns = {k: re.compile(v.replace("(?iU)", ""), re.I) for k, v in A.DEFAULT_PATTERNS.items()}
+    want = {}
+    for i, text in enumerate(FILINGS):
+        parts = [p for p in re.split(r"(?<=[.!?;])\s+", " ".join((text or "").split())) if p]
+        for k, part in enumerate(parts):
+            if patterns["strong"].search(part) or patterns["broad"].search(part):
+                window = " ".join(parts[max(0, k - 1) : k + 2])
+                n = {x: len(p.findall(window)) for x, p in patterns.items()}
+                score = 4 * bool(n["strong"]) + bool(n["broad"]) + 2 * bool(n["operational"]) + bool(n["first_person"]) + 3 * bool(n["adoption"]) - bool(n["market"]) - min(n["low_value"], 2)
+                acting = n["operational"] and n["first_person"]
+                if n["adoption"] and n["first_person"] and not n["low_value"]:
+                    label = A.LABELS[0]
+                elif n["adoption"] or (n["strong"] and acting and not n["market"]):
+                    label = A.LABELS[1]
+                else:
+                    label = A.LABELS[2] if n["strong"] or (n["broad"] and acting) else A.LABELS[3]
+                want[i, k] = (score, label)
+    got = {(r["doc_id"], r["sentence_index"]): (r["score"], r["label"]) for r in queries()["audit_windows_full"](spark, filings).collect()}
+    assert got == want and {label for _, label in want.values()} == set(A.LABELS[:4])
+    best = {r["doc_id"]: (r["label"], r["top_score"], r["candidates"]) for r in queries()["heuristic_audit_full"](spark, filings).collect()}
+    for i in range(len(FILINGS)):
+        own = [v for (d, _), v in want.items() if d == i]
+        assert best[i] == (min((x for _, x in own), key=A.LABELS.index, default=A.LABELS[4]), max((x for x, _ in own), default=0), len(own))
+
+
 def test_segments_are_bounded():
     text = "word " * 2000 + "and speech recognition " + "more " * 300
     parts = E.segments(text, M)
