@@ -113,6 +113,9 @@ _CONTENT = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _ABBREVIATED = re.compile(r"(?:\b(?:Inc|Corp|Co|Ltd|No|Nos|vs|approx|e\.g|i\.e|cf|Mr|Ms|Dr|St|Fig|Sec)|\b[A-Z])\.$")
 
+# A full stop that need not end a sentence: after a digit (decimal point, thousands, numbering) or a further abbreviation. Only a length limit tells.
+_DOUBTFUL = re.compile(r"(?:\d|\b(?:Jr|Sr|Prof|Gen|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec|pp|Vol|Art|Dept|Intl|Bros|incl|excl|max|min|avg|etc|al|ca|bzw|z\.B|www))\.$")
+
 
 def tokens(text: str) -> list[str]:
     """Words in lower case; each ideograph or kana is one."""
@@ -279,6 +282,8 @@ def is_truncated(answer: str, goes_on: str | None, at_limit: bool) -> bool:
         return at_limit or bool(goes_on) or _script_of(text.rstrip(_CLOSERS + "}")[-1:] or " ") not in _UNMARKED
     if goes_on and not goes_on[:1].isspace() and goes_on[:1].isalnum() and text[-1:].isascii():
         return True
+    if at_limit and _DOUBTFUL.search(text):
+        return True
     return bool(_ABBREVIATED.search(text)) and (at_limit or bool(goes_on))
 
 
@@ -328,8 +333,12 @@ def longer_versions(answers: DataFrame, answer: str = "answer", range_rows: int
 
 
 def length_limits(answers: DataFrame, answer: str = "answer") -> DataFrame:
-    """(length): lengths in characters at which answers that don't end a sentence pile up."""
-    ends = F.col(answer).rlike("[" + re.escape(_ENDS) + "][" + re.escape(_CLOSERS) + r"\s}]*$")
+    """(length): lengths in characters at which answers that don't end a sentence pile up.
+
+    Whole answers aren't counted, as many equal ones would make a limit of their length; nor those that end in a closing
+    bracket, such as empty objects.
+    """
+    ends = F.col(answer).rlike("[" + re.escape(_ENDS) + "][" + re.escape(_CLOSERS) + r"\s}]*$") | F.col(answer).rlike(r"[}\]>][\s`]*$")
     counts = answers.filter(F.col(answer).isNotNull() & ~ends).groupBy(F.char_length(answer).alias("length")).agg(F.count(F.lit(1)).alias("n"))
     near = counts.select(F.explode(F.sequence(F.col("length") - SPIKE_AROUND, F.col("length") + SPIKE_AROUND)).alias("length"), F.col("n").alias("m")).groupBy("length").agg(F.sum("m").alias("all"))
     around = (F.col("all") - F.col("n")) / (2 * SPIKE_AROUND)

@@ -179,6 +179,23 @@ def test_length_limits(spark):
     assert [r[0] for r in R.length_limits(spark.createDataFrame([(t,) for t in texts], "answer string")).collect()] == [100]
 
 
+def test_limit_decides_doubtful_endings(spark):
+    for answer in ("The filing reports revenue of $1.", "Sales rose to 12.", "It was adopted in Sept.", "It is used by Acme Corp."):
+        assert R.defect(answer, PROMPT, None, True) == "truncated" and R.defect(answer, PROMPT) is None
+    assert R.defect("The tool is in use.", PROMPT, None, True) is None
+    cut_off = [(i, PROMPT, f"The filing number {100 + i} reports a tool and its u", None) for i in range(60)]
+    own = "The filing tells of a tool and revenues of 3 and 41."
+    rows = [*cut_off, (100, PROMPT, own[: len(cut_off[0][2])].rjust(len(cut_off[0][2]), "T")[:-2] + "1.", None), (101, PROMPT, "Sales rose to 12.", None)]
+    df = spark.createDataFrame(rows, "id long, prompt string, raw string, why string")
+    out = R.defects(df, row_id="id", prompt=F.col("prompt"), raw=F.col("raw"), explanation=F.col("why")).collect()
+    assert sorted(r["id"] for r in out if r["defect"] == "truncated") == [*range(60), 100]
+
+
+def test_whole_answers_make_no_limit(spark):
+    texts = ["x" * n for n in range(20, 60)] + ['{"score": null, "explanation": ""}'] * 200 + ['{"score": "", "explanation": null}'] * 200 + ["Score 2 was read from the reply (bounded use)."] * 500
+    assert R.length_limits(spark.createDataFrame([(t,) for t in texts], "answer string")).collect() == []
+
+
 # Mixes
 
 
