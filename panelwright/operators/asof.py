@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.session import partitions_for
+from panelwright.session import buckets_for
 
 #: Events that one bucket should hold.
 BUCKET_EVENTS = 200_000
@@ -65,7 +65,7 @@ def as_known_at(
     spark = events.sparkSession
     own = [c for c in events.columns if c not in take]
     kinds = {name: versions.schema[column].dataType for name, column in take.items()}
-    n = partitions_for(spark, events.count(), bucket_events)
+    n = buckets_for(spark, events.count(), bucket_events)
 
     left = events.select(entity.alias("__ent"), _day(event_time).alias("__at"), F.struct(*own).alias("__row"))
     # Entities with more events than a bucket should hold get several buckets; there are at most rows / bucket_events.

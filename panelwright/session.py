@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,21 +38,48 @@ def shared_dir(spark: SparkSession) -> str:
     key = spark.sparkContext.applicationId
     if key not in _LOCAL_CHECKPOINTS:
         _LOCAL_CHECKPOINTS[key] = tempfile.mkdtemp(prefix="panelwright-")
+        atexit.register(shutil.rmtree, _LOCAL_CHECKPOINTS[key], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(_LOCAL_CHECKPOINTS[key])
     return "file://" + _LOCAL_CHECKPOINTS[key]
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
+    """Write df as a table in the shared folder and read it back: lineage ends there and a lost executor costs no recomputation.
+
+    Tables lie in a folder of the application; `discard` deletes single ones, `release` all of them.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables written by `cut` that no DataFrame still to be evaluated reads."""
+    for table in tables:
+        if path := getattr(table, "_cut_path", None):
+            _delete(table.sparkSession, path)
+
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that `cut` wrote in this application, once their results have been used."""
+    _delete(spark, _tables(spark))
 
-def spread(df: DataFrame) -> DataFrame:
-    """df for work that is heavy per row: dealt out anew where its files give fewer partitions than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df for work that is heavy per row: dealt out anew where its files give fewer partitions than half the cores."""
+    cores = parts or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
@@ -66,7 +95,16 @@ def table_rows(df: DataFrame) -> int:
     return df.count()
 
 
-def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
-    """Number of shuffle buckets so that one holds about per_partition rows, at least the session's default."""
+#: Partitions of one shuffle; more burden the driver. Groups and buckets within them aren't limited in number.
+MOST_PARTITIONS = 100_000
+
+
+def buckets_for(spark: SparkSession, rows: int, per_bucket: int) -> int:
+    """Number of buckets so that one holds about per_bucket rows, at least the session's default; it grows without limit."""
     default = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(100_000, max(min(default, max(1, rows // 1000)), -(-rows // per_partition))))
+    return max(1, min(default, max(1, rows // 1000)), -(-rows // per_bucket))
+
+
+def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
+    """The same for shuffle partitions, at most MOST_PARTITIONS."""
+    return min(MOST_PARTITIONS, buckets_for(spark, rows, per_partition))
