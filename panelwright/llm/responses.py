@@ -331,8 +331,17 @@ _INTRODUCED = re.compile(r"^\s*(?:[^\W\d]+[ ]){0,4}[^\W\d]+:\s+")
 
 
 def sentences(answer: str) -> list[str]:
-    """The sentences and lines of an answer's content, without bullets and quotes around them."""
-    return [x for x in (part.strip(_AROUND) for part in _SENTENCE.split(content(answer))) if x]
+    """The sentences and lines of an answer's content, without bullets and quotes around them. A full stop after a digit or
+    an abbreviation ends none."""
+    body = content(answer)
+    out, low = [], 0
+    for m in _SENTENCE.finditer(body):
+        before = body[max(low, m.start() - 12) : m.start()]
+        if before[-1:] != "." or not (_ABBREVIATED.search(before) or _DOUBTFUL.search(before)):
+            out.append(body[low : m.start()])
+            low = m.end()
+    out.append(body[low:])
+    return [x for x in (part.strip(_AROUND) for part in out) if x]
 
 
 _AROUND = " \t-*•>\"'`{}[]()“”‘’"
