@@ -1,7 +1,7 @@
 """Best representative of each group of duplicate records.
 
-Both operators rank by windows of which only the first row is kept. Spark then limits every group to its first row per
-task before the shuffle, so a group that holds a third of the table sends one row per task, not all its rows.
+Both operators rank by a window of which only the first rows are kept. Spark then limits every group to its first rows per
+task before the shuffle, so a group that holds a third of the table sends one or two rows per task, not all its rows.
 """
 
 from __future__ import annotations
@@ -40,20 +40,21 @@ def best_fields(df: DataFrame, keys: dict[str, Column], *, usable: dict[str, Col
     rows count as records. An empty table gives an empty result; other columns, of whatever name, aren't read.
     """
     names, fields = list(keys), list(usable)
-    inner = [f"__k{i}" for i in range(len(names))]
+    inner, most = [f"__k{i}" for i in range(len(names))], max(1, least_records)
     base = df.select(
         *(c.alias(a) for a, c in zip(inner, keys.values())),
         *(c.alias(f"__f{i}") for i, c in enumerate(usable.values())),
         trust.alias("__trust"), recency.alias("__recency"), tie.alias("__tie"),
-    ).dropna(subset=inner)
-    sizes = base.groupBy(*inner).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least_records)
+    )
     types = dict(base.dtypes)
-    slots = [F.struct(F.lit(i).alias("i"), *(F.col(f"__f{j}").alias(f"v{j}") if i == j else F.lit(None).cast(types[f"__f{j}"]).alias(f"v{j}") for j in range(len(fields)))) for i in range(len(fields))]
-    filled = lambda s: reduce(lambda a, b: a | b, (s[f"v{j}"].isNotNull() for j in range(len(fields))))
-    long = base.withColumn("__slot", F.explode(F.filter(F.array(*slots), filled)))
-    long = long.select(*inner, F.col("__slot.i").alias("__i"), *(F.col(f"__slot.v{j}").alias(f"__v{j}") for j in range(len(fields))), "__trust", "__recency", "__tie")
+    # A record stands once for each field that it can fill, and once for itself (slot -1), by which a group's records are told.
+    slot = lambda i: F.struct(F.lit(i).alias("i"), *(F.col(f"__f{j}").alias(f"v{j}") if i == j else F.lit(None).cast(types[f"__f{j}"]).alias(f"v{j}") for j in range(len(fields))))
+    slots = F.array_compact(F.array(slot(-1), *(F.when(F.col(f"__f{i}").isNotNull(), slot(i)) for i in range(len(fields)))))
+    keyed = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in inner))
+    long = base.select(*inner, F.explode(F.when(keyed, slots)).alias("__slot"), "__trust", "__recency", "__tie")
     order = [F.col("__trust").asc_nulls_last(), F.col("__recency").desc_nulls_last(), F.col("__tie").desc_nulls_last()]
-    picks = _first(long, [*inner, "__i"], order)
-    wide = picks.groupBy(*inner).agg(*(F.max(f"__v{j}").alias(f"__w{j}") for j in range(len(fields))))
-    joined = sizes.join(wide, inner, "left")
-    return joined.select(*(F.col(a).alias(b) for a, b in zip(inner, names)), *(F.col(f"__w{j}").alias(n) for j, n in enumerate(fields)))
+    rank = F.row_number().over(Window.partitionBy(*inner, "__i").orderBy(*order))
+    ranked = long.select(*inner, F.col("__slot.i").alias("__i"), *(F.col(f"__slot.v{j}").alias(f"__v{j}") for j in range(len(fields))), "__trust", "__recency", "__tie").withColumn("__rank", rank).filter(F.col("__rank") <= most)
+    first = F.col("__rank") == 1
+    wide = ranked.groupBy(*inner).agg(*(F.max(F.when(first, F.col(f"__v{j}"))).alias(f"__w{j}") for j in range(len(fields))), F.max(F.when(F.col("__i") == -1, F.col("__rank"))).alias("__n"))
+    return wide.filter(F.col("__n") >= most).select(*(F.col(a).alias(b) for a, b in zip(inner, names)), *(F.col(f"__w{j}").alias(n) for j, n in enumerate(fields)))
