@@ -29,6 +29,10 @@ from panelwright.session import local_path, shared_dir
 TOKENIZER = "byte_bpe_50k"
 #: Words merged so far that a worker keeps; it is emptied when full.
 MEMO_WORDS = 200_000
+#: Ids in one batch of results, unless a single text has more.
+LIST_VALUES = 1 << 26
+#: Most counted words of a corpus that are compiled into its lexicon besides the tokenizer's own; they reach the driver.
+TOP_WORDS = 25_000
 
 
 def tokenizer_path(name: str = TOKENIZER, folder: str | None = None) -> str:
@@ -184,24 +188,6 @@ def whole_words(ranks_path: str) -> dict[bytes, list[int]]:
     return {word: ids for word, ids in entries.items() if merge(word) == ids}
 
 
-def word_counts(df: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
-    """(word BINARY, count BIGINT) over all texts, words as the tokenizer splits them; counted per batch before the shuffle."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[bytes, int] = {}
-            for _, chunk in chunks(batch.column(0)):
-                at = chunk.byte_of[np.append(split_words(chunk), len(chunk.code))].tolist()
-                raw = chunk.bytes.tobytes()
-                for begin, end in zip(at, at[1:]):
-                    word = raw[begin:end]
-                    counts[word] = counts.get(word, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    found = df.select(F.col(text).alias("text")).mapInArrow(partial, "word binary, n bigint")
-    return found.groupBy("word").agg(F.sum("n").alias("count")).filter(F.col("count") >= least)
-
-
 @dataclasses.dataclass
 class Lexicon:
     """Where workers find the compiled lexicon: a file to map into memory, or a broadcast copy where the shared folder isn't
@@ -215,7 +201,7 @@ class Lexicon:
         return Transducer.map(self.path) if self.path else self.copy.value
 
 
-def build_lexicon(spark: SparkSession, ranks_path: str, frequent: DataFrame | None = None, top: int = 100_000) -> Lexicon:
+def build_lexicon(spark: SparkSession, ranks_path: str, frequent: DataFrame | None = None, top: int = TOP_WORDS) -> Lexicon:
     """Compile the lexicon, into a file of the shared folder once per content.
 
     frequent (word, count): further words, of which the top most counted are compiled with their exact ids; at most top
@@ -250,6 +236,35 @@ def _encoder(ranks_path: str, lexicon: Lexicon) -> Encoder:
     return _ENCODERS[ranks_path, lexicon.key]
 
 
+def word_counts(df: DataFrame, text: str = "text", least: int = 1, ranks_path: str | None = None, known: bool = True) -> DataFrame:
+    """(word BINARY, count BIGINT) over all texts, words as the tokenizer splits them; counted per batch before the shuffle.
+
+    Without known, words that are one id of the tokenizer are left out: they are in every lexicon. So are words of over 64
+    bytes, which no lexicon holds.
+    """
+    spark, ranks_path = df.sparkSession, ranks_path or tokenizer_path()
+    lexicon = None if known else build_lexicon(spark, ranks_path)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[bytes, int] = {}
+            for _, chunk in chunks(batch.column(0)):
+                at = chunk.byte_of[split_words(chunk)]
+                end = np.append(at[1:], len(chunk.bytes))
+                if lexicon is not None:
+                    kept = (_encoder(ranks_path, lexicon).lexicon.find(chunk.bytes, at, end - at) < 0) & (end - at <= 64)
+                    at, end = at[kept], end[kept]
+                _, first, n = np.unique(run_hashes(chunk.bytes, at, end), return_index=True, return_counts=True)
+                raw = chunk.bytes.tobytes()
+                for begin, stop, times in zip(at[first].tolist(), end[first].tolist(), n.tolist()):
+                    word = raw[begin:stop]
+                    counts[word] = counts.get(word, 0) + times
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    found = df.select(F.col(text).alias("text")).mapInArrow(partial, "word binary, n bigint")
+    return found.groupBy("word").agg(F.sum("n").alias("count")).filter(F.col("count") >= least)
+
+
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text: str = "text", ids: str = "ids", ranks_path: str | None = None, frequent: DataFrame | None = None) -> DataFrame:
     """(id_col, ids ARRAY<INT>): the ids of every row's text as stored, without special tokens.
 
@@ -265,8 +280,12 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text: str = "text", ids
         encoder = _encoder(ranks_path, lexicon)
         for batch in batches:
             offsets, values = encoder.encode(batch.column(1))
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [id_col, ids])
+            low = 0
+            while low < batch.num_rows:  # the lists of one batch share 32-bit offsets
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + LIST_VALUES, side="right")) - 1)
+                lists = pa.ListArray.from_arrays(pa.array((offsets[low : high + 1] - offsets[low]).astype(np.int32)), pa.array(values[offsets[low] : offsets[high]].astype(np.int32, copy=False)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], [id_col, ids])
+                low = high
 
     return df.select(F.col(id_col), F.col(text).alias("__text")).mapInArrow(run, schema)
 

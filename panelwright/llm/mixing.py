@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.session import cut
+from panelwright.session import cut, partitions_for
 
 #: Documents that one flight handles.
 BLOCK = 20_000
@@ -101,33 +101,38 @@ def mix_plan(sizes: DataFrame, plans: DataFrame, total: int | None = None) -> Da
     return rows.select("plan_id", "source", "max_repeats", "documents", "available", "share", "target", times.alias("times"), "capped")
 
 
-def mix_sources(sizes: DataFrame, plans: DataFrame, id_col: str = "doc_id", seed: int = 0, block: int = BLOCK) -> DataFrame:
+def mix_sources(sizes: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: int = 0, block: int = BLOCK) -> DataFrame:
     """(plan_id, source, id_col, n_tokens, repeats): how often each document appears in each plan, 0 left out.
 
-    No document appears more than max_repeats times; a source that can't reach its share even so appears max_repeats times
-    whole. Documents whose source is null or in no plan appear nowhere. Documents of 0 tokens are handled like others, ties
-    of size too; a repeated id is two documents. Empty tables give an empty result. The result depends on the rows and the
-    seed alone, not on their order or partitions.
+    plan is the result of mix_plan, best written once by `cut`. No document appears more than max_repeats times; a source that
+    can't reach its share even so appears max_repeats times whole. Documents whose source is null or in no plan appear
+    nowhere. Documents of 0 tokens are handled like others, ties of size too; a repeated id is two documents. Empty tables
+    give an empty result. The result depends on the rows and the seed alone, not on their order or partitions.
     """
-    needs = mix_plan(sizes, plans).select("plan_id", "source", F.floor("times").cast("int").alias("__whole"), (F.col("times") - F.floor("times")).alias("__chance"), F.ceil(F.col("documents") / block).cast("int").alias("__blocks"))
+    spark = sizes.sparkSession
+    needs = plan.select("plan_id", "source", F.floor("times").cast("int").alias("__whole"), (F.col("times") - F.floor("times")).alias("__chance"), F.ceil(F.col("documents") / block).cast("int").alias("__blocks"), "documents")
+    most = needs.agg(F.max("__blocks"), F.sum(F.when(F.col("__chance") > _EPS, F.col("documents")))).first()
+    blocks, undecided = most[0] or 1, most[1] or 0
     docs = sizes.select("source", F.col(id_col).alias("__id"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("__tokens"))
-    units = docs.join(needs, "source")
+    units = docs.join(needs.drop("documents"), "source")
     order = F.xxhash64("__id", F.lit(seed))
     units = units.withColumn("__order", order).withColumn("__block", F.pmod(order, F.col("__blocks")).cast("int"))
     columns = ["plan_id", "source", "__id", "__tokens", "__whole", "__chance", "__order", "__blocks", "__block"]
     units = units.select(*columns)
     decided = [units.filter(F.col("__chance") <= _EPS)]
     open_units = units.filter(F.col("__chance") > _EPS)
-    blocks = max((r[0] or 1 for r in needs.agg(F.max("__blocks")).collect()), default=1)
     while True:
         last = blocks <= 1
-        step = cut(open_units.groupBy("plan_id", "source", "__block").applyInArrow(_balance(seed, last), open_units.schema), "mix")
+        # A number of partitions of its own, as adaptive execution would merge the flights, small in bytes, into one task.
+        parts = max(2 * spark.sparkContext.defaultParallelism, partitions_for(spark, undecided, 4 * block))
+        flights = open_units.repartition(parts, "plan_id", "source", "__block").groupBy("plan_id", "source", "__block")
+        step = cut(flights.applyInArrow(_balance(seed, last), open_units.schema), "mix")
         closed = (F.col("__chance") <= 0.0) | (F.col("__chance") >= 1.0)
         decided.append(step.filter(closed))
         if last:
             break
         # At most two units of a block are left: balance those of block / 4 old blocks as one new block.
-        blocks = -(-blocks // max(2, block // 4))
+        blocks, undecided = -(-blocks // max(2, block // 4)), undecided * 2 // block + 1
         open_units = step.filter(~closed).withColumn("__block", (F.col("__block") / max(2, block // 4)).cast("int")).select(*columns)
     done = decided[0]
     for part in decided[1:]:
@@ -136,13 +141,19 @@ def mix_sources(sizes: DataFrame, plans: DataFrame, id_col: str = "doc_id", seed
     return done.select("plan_id", "source", F.col("__id").alias(id_col), F.col("__tokens").alias("n_tokens"), repeats.alias("repeats")).filter("repeats > 0")
 
 
-def mix_report(sizes: DataFrame, plans: DataFrame, mixed: DataFrame) -> DataFrame:
-    """mix_plan with what was reached: documents, records and tokens taken, and the share of the plan's tokens."""
-    plan = mix_plan(sizes, plans)
+def mix_report(plan: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of mix_plan with what was reached: documents, records and tokens taken, and the share of the plan's tokens.
+
+    exhausted: every document of the source stands at max_repeats and the tokens reached are still below the target; this is
+    told from the mix, while mix_plan's capped is told in advance.
+    """
     got = mixed.groupBy("plan_id", "source").agg(F.count(F.lit(1)).alias("taken_documents"), F.sum("repeats").alias("taken_records"), F.sum(F.col("repeats") * F.col("n_tokens")).cast("long").alias("taken_tokens"), F.max("repeats").alias("most_repeats"))
-    got = got.join(mixed.groupBy("plan_id").agg(F.sum(F.col("repeats") * F.col("n_tokens")).cast("long").alias("plan_tokens")), "plan_id")
+    totals = got.groupBy("plan_id").agg(F.sum("taken_tokens").alias("plan_tokens"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return plan.join(got, ["plan_id", "source"], "left").select(
-        "plan_id", "source", "share", "target", "available", "max_repeats", "capped", zero("taken_documents"), zero("taken_records"), zero("taken_tokens"), zero("most_repeats"),
-        F.coalesce(F.try_divide(F.col("taken_tokens").cast("double"), F.col("plan_tokens").cast("double")), F.lit(0.0)).alias("reached_share"),
+    rows = plan.join(got, ["plan_id", "source"], "left").join(totals, "plan_id", "left")
+    rows = rows.select("plan_id", "source", "share", "target", "available", "documents", "max_repeats", "capped", zero("taken_documents"), zero("taken_records"), zero("taken_tokens"), zero("most_repeats"), "plan_tokens")
+    exhausted = (F.col("taken_records") == F.col("documents") * F.col("max_repeats")) & (F.col("taken_tokens") < F.col("target"))
+    return rows.select(
+        "plan_id", "source", "share", "target", "available", "max_repeats", "capped", "taken_documents", "taken_records", "taken_tokens", "most_repeats",
+        F.coalesce(F.try_divide(F.col("taken_tokens").cast("double"), F.col("plan_tokens").cast("double")), F.lit(0.0)).alias("reached_share"), exhausted.alias("exhausted"),
     )

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.keys import accession_key, annual_form, firm_key
-from panelwright.llm.encode import count_tokens, encode_corpus
+from panelwright.llm.encode import count_tokens, encode_corpus, word_counts
 from panelwright.llm.language import identify, issues
-from panelwright.llm.mixing import mix_report, mix_sources
+from panelwright.llm.mixing import mix_plan, mix_report, mix_sources
 from panelwright.llm.near import near_duplicates
 from panelwright.llm.responses import defects
 from panelwright.llm.split import split_items
@@ -58,17 +58,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(_read(spark, sf_dir, "documents"))
+    documents = _read(spark, sf_dir, "documents")
+    return encode_corpus(documents, frequent=word_counts(documents, least=2, known=False))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sizes = cut(count_tokens(_read(spark, sf_dir, "documents"), keep=["doc_id", "source"]), "sizes")
-    plans = _read(spark, sf_dir, "mix_plans")
-    return sizes, plans, mix_sources(sizes, plans)
+    plan = cut(mix_plan(sizes, _read(spark, sf_dir, "mix_plans")), "plan")
+    return plan, mix_sources(sizes, plan)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[2]
+    return _mixed(spark, sf_dir)[1]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_shares(spark, sf_dir).filter("capped").select("plan_id", "source")
+    return p7_shares(spark, sf_dir).filter("exhausted").select("plan_id", "source")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

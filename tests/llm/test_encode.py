@@ -129,3 +129,12 @@ def test_lexicon_without_a_mounted_folder(spark, reference, monkeypatch):
     lexicon = E.build_lexicon(spark, RANKS)
     assert lexicon.path is None
     assert lists(E.Encoder(RANKS, lexicon.open()), ["It's a station."]) == [reference.encode_ordinary("It's a station.")]
+
+
+def test_counts_of_unknown_words(spark, reference):
+    """Without the words that are one id, counts are those of all words but them."""
+    df = spark.createDataFrame([(1, "the the zorblax zorblax"), (2, None), (3, ""), (4, " zorblax the " + "q" * 80)], "doc_id long, text string")
+    every = {r["word"]: r["count"] for r in E.word_counts(df).collect()}
+    some = {r["word"]: r["count"] for r in E.word_counts(df, known=False).collect()}
+    assert every[b" zorblax"] == some[b" zorblax"] == 3 and some == {w: n for w, n in every.items() if w in some}
+    assert b" the" not in some and not any(len(w) > 64 for w in some)

@@ -197,22 +197,25 @@ def test_mix(spark, block):
     docs = [(i, rng.choice(["a"] * 8 + ["b", "c", None]), rng.randint(0, 900)) for i in range(2000)] + [(5000, "a", None)]
     sizes = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
     plans = spark.createDataFrame([("p", "a", 3.0, 2), ("p", "b", 1.0, 40), ("p", "c", 1.0, 1), ("p", "none", 1.0, 5), ("q", "a", 1.0, None), ("q", None, None, 1)], "plan_id string, source string, target_weight double, max_repeats int")
-    mixed = X.mix_sources(sizes, plans, block=block)
-    rows = {(r["plan_id"], r["source"]): r for r in X.mix_report(sizes, plans, mixed).collect()}
+    plan = X.mix_plan(sizes, plans)
+    mixed = X.mix_sources(sizes, plan, block=block)
+    rows = {(r["plan_id"], r["source"]): r for r in X.mix_report(plan, mixed).collect()}
+    assert all(r["capped"] == r["exhausted"] for r in rows.values())
     total = sum(n or 0 for _, _, n in docs)
     assert rows["p", "a"]["taken_tokens"] == pytest.approx(total / 2, abs=1000) and rows["p", "b"]["taken_tokens"] == pytest.approx(total / 6, abs=1000)
     assert rows["p", "c"]["capped"] and rows["p", "none"]["capped"] and rows["q", "a"]["capped"] and not rows["p", "a"]["capped"]
     assert rows["p", "c"]["taken_tokens"] == rows["p", "c"]["available"]
     assert all(r["most_repeats"] <= r["max_repeats"] for r in rows.values())
-    again = X.mix_sources(sizes.repartition(7), plans, block=block)
+    again = X.mix_sources(sizes.repartition(7), plan, block=block)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixed.collect()))
 
 
 def test_empty_mix(spark):
     sizes = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     plans = spark.createDataFrame([("p", "a", 1.0, 2)], "plan_id string, source string, target_weight double, max_repeats int")
-    assert X.mix_sources(sizes, plans).count() == 0
-    assert [r["capped"] for r in X.mix_report(sizes, plans, X.mix_sources(sizes, plans)).collect()] == [False]
+    plan = X.mix_plan(sizes, plans)
+    assert X.mix_sources(sizes, plan).count() == 0
+    assert [(r["capped"], r["exhausted"]) for r in X.mix_report(plan, X.mix_sources(sizes, plan)).collect()] == [(False, False)]
 
 
 # Languages
