@@ -8,9 +8,11 @@ one bit of a table therefore always meet at the home of either, others often do;
 with a chance of 0.992, of 0.8 with 0.998, of 0.9 with 1.000 (simulated). At each anchor homes are compared with all
 fingerprints there; what is near enough is checked exactly on the word sets, so no false pair comes out.
 
-Large collections lengthen the code: e further bits, each its own code, make 2 ** e times as many anchors. Texts with one
-word set are one class, handled once. An anchor with many fingerprints is split into blocks that meet pairwise, each in a
-group of its own. A pair is reported at one canonical anchor only, so pairs needn't be made distinct by a shuffle.
+Large collections lengthen the code: e further bits, each its own code, make 2 ** e times as many anchors, and more tables
+(TABLES) keep the chance at J = 0.75 above 0.99. Texts with one word set are one class, handled once. Crowded anchors are
+told by cells, a number of anchors each, of which there are at most CELLS however large the collection is; those of a
+crowded cell are split into blocks that meet pairwise, each in a group of its own. A pair is reported at one canonical
+anchor only, so pairs needn't be made distinct by a shuffle.
 """
 
 from __future__ import annotations
@@ -26,15 +28,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.llm.arrays import chunks, lower_table, mix64, run_hashes
-from panelwright.session import cut, partitions_for
+from panelwright.session import buckets_for, cut, discard, partitions_for
 
 BITS = 128
 RADIUS = 3
 THRESHOLD = 1
 GOLAY = 0b101011100011  # generator polynomial of the [23, 12, 7] code
-#: Fingerprints of one anchor compared in one group; an anchor with more is split into blocks.
-ANCHOR_LIMIT = 20_000
-#: Room for block numbers of a split anchor.
+#: Tables by pairs of further bits.
+TABLES = (8, 12, 16, 24, 34, 46, 66)
+#: Fingerprints of one anchor compared in one group; the anchors of a cell with more, and with CROWDED times the mean, are split into blocks.
+ANCHOR_LIMIT, CROWDED = 20_000, 4
+#: Cells of anchors whose fingerprints are counted. At most CELLS / CROWDED of them are crowded, which bounds what the driver gets and sends.
+CELLS = 1 << 22
+#: Room for block numbers of a split anchor. Blocks grow where it is used up.
 BLOCK_BITS = 14
 #: Replicas that a bucket of anchors should hold.
 BUCKET_REPLICAS = 1_500_000
@@ -114,8 +120,13 @@ def code_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def shape(rows: int) -> tuple[int, int]:
     """Tables and further bits for a collection: a longer code once 4096 anchors would hold too many rows each."""
-    extra = 2 * max(0, ((max(1, rows) - 1).bit_length() - 21 + 2) // 3)
-    return 8 + 2 * extra, extra
+    extra = 2 * min(len(TABLES) - 1, max(0, ((max(1, rows) - 1).bit_length() - 21 + 2) // 3))
+    return TABLES[extra // 2], extra
+
+
+def cell_of(anchors: np.ndarray) -> np.ndarray:
+    """Cell of each anchor, itself where there are few."""
+    return np.where(anchors < CELLS, anchors, (mix64(anchors.astype(np.uint64)) % np.uint64(CELLS)).astype(np.int64))
 
 
 @functools.cache
@@ -201,17 +212,16 @@ class Code:
         return np.where(meets.any(1), self.number(table, word, rest), -1)
 
 
-def _split(hot: dict[int, int], rows: np.ndarray, anchors: np.ndarray, home: np.ndarray, ids: np.ndarray):
-    """Adds to the records of hot anchors the pair of blocks in which they are compared; others have the pair 0, 0."""
-    if not hot:
+def _split(crowded: tuple[np.ndarray, np.ndarray], rows: np.ndarray, anchors: np.ndarray, home: np.ndarray, ids: np.ndarray):
+    """Adds to the records of crowded cells (ascending, with their number of blocks) the pair of blocks in which they are
+    compared; others have the pair 0, 0."""
+    cells, blocks = crowded
+    if not len(cells):
         zero = np.zeros(len(rows), np.int64)
         return rows, anchors, home, zero, zero, zero
-    parts = np.ones(len(rows), np.int64)
-    keys = np.fromiter(hot, np.int64, len(hot))
-    order = np.argsort(keys)
-    at = np.clip(np.searchsorted(keys[order], anchors), 0, len(keys) - 1)
-    known = keys[order][at] == anchors
-    parts[known] = np.fromiter(hot.values(), np.int64, len(hot))[order][at[known]]
+    cell = cell_of(anchors)
+    at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+    parts = np.where(cells[at] == cell, blocks[at], 1)
     own = (mix64(ids.astype(np.uint64))[rows] % parts.astype(np.uint64)).astype(np.int64)
     again = np.repeat(np.arange(len(rows)), parts)
     other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -323,7 +333,7 @@ def near_duplicates(texts: DataFrame, id_col: str, text: str, similarity: float
     replicas = int(rows * tables * (5.33 + extra)) + 1
     # Comparing costs more than moving: a fixed number of partitions, which aren't merged for being small.
     parts = max(12, 2 * spark.sparkContext.defaultParallelism, partitions_for(spark, replicas, BUCKET_REPLICAS))
-    buckets = 2 * parts
+    buckets = 2 * max(parts, buckets_for(spark, replicas, BUCKET_REPLICAS))
     # Bits in which a pair may differ before the exact check: the mean at the threshold and four and a half deviations.
     apart = (1 - similarity) / 2
     limit = int(BITS * apart + 4.5 * (BITS * apart * (1 - apart)) ** 0.5)
@@ -334,40 +344,38 @@ def near_duplicates(texts: DataFrame, id_col: str, text: str, similarity: float
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                anchor, n = np.unique(code.replicas(prints_of(batch))[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
+                cell, n = np.unique(cell_of(code.replicas(prints_of(batch))[1]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
 
-    # Anchors above the limit, at most replicas / limit of them.
-    crowded = classes.select("rep", "f1", "f2").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > anchor_limit)
-    hot = {r.anchor: -(-2 * r.n // anchor_limit) for r in crowded.collect()}
-
-    if max(hot.values(), default=0) >= 1 << BLOCK_BITS:
-        raise ValueError("an anchor needs more blocks than can be numbered; raise anchor_limit")
+    mean = replicas / min(CELLS, tables << (12 + extra))
+    loads = classes.select("rep", "f1", "f2").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > max(anchor_limit, int(CROWDED * mean)))
+    found = loads.toArrow().sort_by("cell")  # at most CELLS / CROWDED rows
+    load, block = found.column("n").to_numpy(), max(anchor_limit, int(mean))
+    crowded = spark.sparkContext.broadcast((found.column("cell").to_numpy(), np.minimum((1 << BLOCK_BITS) - 1, -(-2 * load // block))))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, prints, size = batch.column(0).to_numpy(), prints_of(batch), batch.column(3).to_numpy()
-            row, anchor, home, side, low, high = _split(hot, *code.replicas(prints), ids)
-            bucket = (mix64(((anchor.astype(np.uint64) << np.uint64(2 * BLOCK_BITS)) ^ (low << BLOCK_BITS ^ high).astype(np.uint64))) % np.uint64(buckets)).astype(np.int32)
+            row, anchor, home, side, low, high = _split(crowded.value, *code.replicas(prints), ids)
+            bucket = (mix64(((anchor.astype(np.uint64) << np.uint64(2 * BLOCK_BITS)) ^ (low << BLOCK_BITS ^ high).astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
             out: list[list] = [[] for _ in range(8)]
-            for b in range(buckets):
-                some = order[edges[b] : edges[b + 1]]
-                if not len(some):
-                    continue
+            for begin, end in zip(edges.tolist(), edges[1:].tolist()):
+                some = order[begin:end]
+                b = int(bucket[some[0]])
                 docs, local = np.unique(row[some], return_inverse=True)
                 place = anchor[some].astype(np.int64) << 1 | home[some]
-                split = np.stack([side[some], low[some], high[some]], 1).astype("<u2").tobytes() if hot else b""
+                split = np.stack([side[some], low[some], high[some]], 1).astype("<u2").tobytes() if len(crowded.value[0]) else b""
                 record = (b, docs.size, ids[docs].tobytes(), prints[docs].tobytes(), size[docs].astype("<i4").tobytes(), place.astype("<i8" if wide else "<u4").tobytes(), local.astype("<u2" if docs.size <= 65536 else "<u4").tobytes(), split)
                 for column, value in zip(out, record):
                     column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k < 2 else pa.binary()) for k, x in enumerate(out)], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k == 0 else pa.int32() if k == 1 else pa.binary()) for k, x in enumerate(out)], schema.names)
 
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("docs", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("ids", "prints", "sizes", "places", "locals", "splits"))])
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("docs", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("ids", "prints", "sizes", "places", "locals", "splits"))])
 
     def meet(table: pa.Table) -> pa.Table:
         ids, prints, sizes, places, docs, splits, seen = [], [], [], [], [], [], 0
@@ -401,9 +409,12 @@ def near_duplicates(texts: DataFrame, id_col: str, text: str, similarity: float
 
     blobs = classes.select("rep", "f1", "f2", "n").mapInArrow(spread, schema)
     candidates = blobs.repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
-    words = sets.select("id", "n", "words")
+    # Only representatives occur among the candidates: the words of copies stay where they are.
+    words = sets.select("id", "n", "words").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     one, two = words.toDF("a", "na", "wa"), words.toDF("b", "nb", "wb")
     both = candidates.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     near = shared >= F.lit(similarity) * (F.col("na") + F.col("nb") - shared) - F.lit(1e-9)
-    return Near(cut(both.filter(near).select("a", "b"), "pairs"), cut(members, "members"))
+    result = Near(cut(both.filter(near).select("a", "b"), "pairs"), cut(members, "members"))
+    discard(sets, classes)
+    return result

@@ -95,3 +95,28 @@ def test_longer_code_still_finds(spark, monkeypatch):
 
 def test_shape_grows():
     assert N.shape(10) == (8, 0) and N.shape(1 << 21) == (8, 0) and N.shape(1 << 24)[1] == 2 and N.shape(1 << 27)[1] == 4
+
+
+def recall(tables, extra, similarity, n=6000):
+    """Share of simulated pairs of fingerprints at this similarity that meet at an anchor and pass the check of their bits."""
+    rng = np.random.default_rng(tables)
+    bits = rng.integers(0, 2, (n, N.BITS), dtype=np.uint8)
+    apart = (1 - similarity) / 2
+    flips = (rng.random((n, N.BITS)) < apart).astype(np.uint8)
+    limit = int(N.BITS * apart + 4.5 * (N.BITS * apart * (1 - apart)) ** 0.5)
+    meets = N.Code(tables, extra).first_meeting(np.packbits(bits, axis=1), np.packbits(bits ^ flips, axis=1)) >= 0
+    return (meets & (flips.sum(1) <= limit)).mean()
+
+
+@pytest.mark.parametrize("rows", [10**5, 3 * 10**6, 3 * 10**7, 10**8, 10**9, 10**10, 10**11])
+def test_recall_of_every_shape(rows):
+    assert recall(*N.shape(rows), 0.75) >= 0.99 - 0.003 and recall(*N.shape(rows), 0.8) >= 0.997
+
+
+def test_crowded_cells_of_several_anchors(spark, monkeypatch):
+    """Anchors that share a cell, as in large collections, are split together."""
+    monkeypatch.setattr(N, "CELLS", 64)
+    monkeypatch.setattr(N, "CROWDED", 1)
+    rows = family(random.Random(5), 60, 6)
+    got, want = pairs(spark, rows, anchor_limit=12)[1], brute(rows)
+    assert set(got) <= set(want) and len(got) == len(set(got)) and len(got) >= 0.99 * len(want)
