@@ -11,16 +11,20 @@ Training uses a bounded sample of labelled documents, as documented at SAMPLE_DO
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import math
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.llm.arrays import LETTER, Chunk, chunks, class_table, lower_table, mix64, ragged_index, run_hashes
+from panelwright.session import local_path, shared_dir
 
 #: Documents that the classifier is fitted on: half of them the same number for each label, half by frequency. A label
 #: gets LABEL_DOCUMENTS of its documents at least (all if it has fewer), so with over 20 labels the sample grows with them.
@@ -59,7 +63,8 @@ def label_code(c: Column) -> Column:
     """Two-letter code of a label in any spelling (case, region, three letters); null for null, blank and ``und``."""
     first = F.regexp_extract(F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " "))), r"^([a-z]+)", 1)
     table = F.create_map(*(F.lit(x) for pair in THREE_LETTER.items() for x in pair))
-    return F.when((first != "") & (first != "und"), F.coalesce(F.try_element_at(table, first), first))
+    # A code as it should be, the usual case, needs no pattern.
+    return F.when(c.isin(TWO_LETTER), c).when((first != "") & (first != "und"), F.coalesce(F.try_element_at(table, first), first))
 
 
 @dataclasses.dataclass
@@ -177,21 +182,26 @@ class Trainer:
 
     def step(self, index: np.ndarray, value: np.ndarray, counts: np.ndarray, label: np.ndarray) -> None:
         """One batch: features and values of its examples one after the other, their number of features and their labels."""
-        used, at = np.unique(index, return_inverse=True)
+        order = np.argsort(index.astype(np.int32), kind="stable")
+        ranked = index[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        edges = np.flatnonzero(new)
+        used = ranked[edges]
+        at = np.empty(len(index), np.int64)
+        at[order] = np.cumsum(new) - 1
         w = self.weights(used)
         starts = np.cumsum(counts) - counts
         x = np.add.reduceat(w[at] * value[:, None], starts, axis=0)
         x = np.exp(x - x.max(axis=1, keepdims=True))
-        g = x / x.sum(axis=1, keepdims=True)
+        g = (x / x.sum(axis=1, keepdims=True)).astype(np.float32)
         g[np.arange(len(label)), label] -= 1
-        per = np.repeat(g, counts, axis=0) * value[:, None]
-        order = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[order], np.arange(len(used)))
-        grad = np.add.reduceat(per[order], edges, axis=0).astype(np.float32)
+        per = np.repeat(g, counts, axis=0)[order] * value[order, None]
+        grad = np.add.reduceat(per, edges, axis=0)
         n = self.n[used]
-        sigma = (np.sqrt(n + grad * grad) - np.sqrt(n)) / self.alpha
+        root = np.sqrt(n)
+        sigma = (np.sqrt(n + grad * grad) - root) / self.alpha
         self.z[used] += grad - sigma * w
-        self.n[used] += grad * grad
+        self.n[used] = n + grad * grad
 
 
 def train(texts: list[str], labels: list[str], features: int = FEATURES, epochs: int = 1, seed: int = 1) -> Model:
@@ -220,11 +230,16 @@ def train(texts: list[str], labels: list[str], features: int = FEATURES, epochs:
         return Model(names, np.zeros((features, len(names)), np.float32), 1.0)
     index, counts, text = np.concatenate(index), np.concatenate(counts), np.concatenate(text)
     label = np.array([number[labels[i]] for i in text])
+    # An n-gram of an example becomes one feature with its count.
+    whole_counts = counts
+    key = np.sort(np.repeat(np.arange(len(counts), dtype=np.int64), counts) * features + index)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times = np.diff(np.append(first, len(key)))
+    example, index = key[first] // features, key[first] % features
+    counts = np.bincount(example, minlength=len(counts))
     starts = np.cumsum(counts) - counts
-    example = np.repeat(np.arange(len(counts)), counts)
-    seen = np.unique(example.astype(np.int64) * features + index) % features
-    idf = (1 + np.log((1 + len(counts)) / (1 + np.bincount(seen, minlength=features)))).astype(np.float32)
-    value = (idf[index] / np.sqrt(counts)[example]).astype(np.float32)
+    idf = (1 + np.log((1 + len(counts)) / (1 + np.bincount(index, minlength=features)))).astype(np.float32)
+    value = (times * idf[index] / np.sqrt(whole_counts)[example]).astype(np.float32)
     rng = np.random.default_rng(seed)
     of_label = np.array([number[x] for x in labels])
     held_out = (rng.random(len(texts)) < 0.1) & (np.bincount(of_label)[of_label] >= LEAST_DOCUMENTS)
@@ -254,7 +269,7 @@ def train(texts: list[str], labels: list[str], features: int = FEATURES, epochs:
         p = np.exp(x - x.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         whole = np.zeros((len(texts), len(names)))
-        np.add.at(whole, text, x * np.sqrt(counts)[:, None])
+        np.add.at(whole, text, x * np.sqrt(whole_counts)[:, None])
         agrees = whole.argmax(1)[text] == label
         # The second time single sentences go as well, those of passages in another language.
         if not last:
@@ -279,14 +294,33 @@ def train(texts: list[str], labels: list[str], features: int = FEATURES, epochs:
     return Model(names, (weights * idf[:, None]).astype(np.float32), temperature)
 
 
+def _stored(spark: SparkSession, texts: list[str], labels: list[str]) -> Model:
+    """The model of this sample: read from the shared folder where it has been trained before, else trained and stored."""
+    digest = hashlib.sha256(repr((FEATURES, sorted(set(labels)))).encode())
+    for pair in zip(labels, texts):
+        digest.update("\0".join(pair).encode("utf-8", "surrogatepass") + b"\1")
+    path = local_path(f"{shared_dir(spark)}/languages-{digest.hexdigest()[:24]}.npz")
+    if path and os.path.exists(path):
+        with np.load(path) as kept:
+            return Model(kept["labels"].tolist(), kept["weights"], float(kept["temperature"]))
+    model = train(texts, labels)
+    if path:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        partial = f"{path}.{uuid.uuid4().hex}.npz"
+        np.savez(partial, labels=np.array(model.labels), weights=model.weights, temperature=model.temperature)
+        os.replace(partial, path)
+    return model
+
+
 def fit(df: DataFrame, text: str, label: str, id_col: str, documents: int = SAMPLE_DOCUMENTS) -> Model:
     """Trains on about documents rows of all labels, chosen by the hash of their id, and LABEL_DOCUMENTS of each label at least.
 
-    Of a smaller table all rows are used. Labels are read by label_code; rows without one aren't trained on, nor are those
-    with a label that is neither a code of a language nor on LEAST_DOCUMENTS rows.
+    Of a smaller table all rows are used. Labels are read by label_code; rows without one or without a letter aren't trained
+    on, nor are those with a label that is neither a code of a language nor on LEAST_DOCUMENTS rows. A model is kept in the
+    shared folder under the content of its sample.
     """
-    rows = df.select(F.col(text).alias("t"), label_code(F.col(label)).alias("l"), F.xxhash64(F.col(id_col), F.lit(17)).alias("h")).filter(F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull())
-    counts = rows.groupBy("l").count().filter(F.col("l").isin(TWO_LETTER) | (F.col("count") >= LEAST_DOCUMENTS)).orderBy(F.desc("count"), "l").collect()
+    spellings = df.groupBy(F.col(label).alias("l")).count()  # reads the labels only
+    counts = spellings.groupBy(label_code(F.col("l")).alias("l")).agg(F.sum("count").alias("count")).filter(F.col("l").isin(TWO_LETTER) | (F.col("count") >= LEAST_DOCUMENTS)).orderBy(F.desc("count"), "l").collect()
     if not counts:
         return train([], [])
     total = sum(r["count"] for r in counts)
@@ -296,13 +330,14 @@ def fit(df: DataFrame, text: str, label: str, id_col: str, documents: int = SAMP
         # The hash is uniform, so this share of its range holds a little over the quota.
         share = min(1.0, 1.2 * quota[r["l"]] / r["count"])
         bounds += [F.lit(r["l"]), F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)]
+    rows = df.select(F.col(text).alias("t"), label_code(F.col(label)).alias("l"), F.xxhash64(F.col(id_col), F.lit(17)).alias("h"))
     chosen = F.col("h") <= F.try_element_at(F.create_map(*bounds), F.col("l"))
     kept: dict[str, list[str]] = {}
-    sample = rows.filter(chosen).select("l", "t", "h").toArrow().sort_by([("l", "ascending"), ("h", "ascending")])
+    sample = rows.filter(chosen).filter(F.col("t").rlike(r"\p{L}")).select("l", "t", "h").toArrow().sort_by([("l", "ascending"), ("h", "ascending")])
     for name, body in zip(sample.column("l").to_pylist(), sample.column("t").to_pylist()):
         if len(kept.setdefault(name, [])) < quota[name]:
             kept[name].append(body)
-    return train([t for texts in kept.values() for t in texts], [name for name, texts in kept.items() for _ in texts])
+    return _stored(df.sparkSession, [t for texts in kept.values() for t in texts], [name for name, texts in kept.items() for _ in texts])
 
 
 def smooth(logs: np.ndarray, weight: np.ndarray) -> np.ndarray:
