@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from panelwright.llm.arrays import SPACE, Chunk, chunks, class_table, ragged_index, run_hashes
 from panelwright.llm.automaton import Transducer
-from panelwright.session import local_path, shared_dir
+from panelwright.session import cut, discard, local_path, shared_dir
 
 TOKENIZER = "byte_bpe_50k"
 #: Words merged so far that a worker keeps; it is emptied when full.
@@ -204,15 +204,26 @@ class Lexicon:
 def build_lexicon(spark: SparkSession, ranks_path: str, frequent: DataFrame | None = None, top: int = TOP_WORDS) -> Lexicon:
     """Compile the lexicon, into a file of the shared folder once per content.
 
-    frequent (word, count): further words, of which the top most counted are compiled with their exact ids; at most top
+    frequent (word, count): further words, of which at most the top most counted are compiled with their exact ids; no more
     rows reach the driver.
     """
     with open(ranks_path, "rb") as ranks:
         digest = hashlib.sha256(ranks.read())
     words: list[bytes] = []
     if frequent is not None:
-        rows = frequent.orderBy(F.desc("count"), "word").limit(top).select("word").toArrow().column(0).to_pylist()
-        words = sorted(w for w in rows if len(w) <= 64)
+        frequent = cut(frequent, "words")
+        # The least count of which at most top words have it or more, by steps of a sixteenth of a power of two.
+        step = F.floor(F.log2("count") * 16).cast("int")
+        left, least = top, None
+        for r in frequent.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+            left -= r["count"]
+            if left < 0:
+                break
+            least = r["step"]
+        if least is not None:
+            rows = frequent.filter(step >= least).select("word").toArrow().column(0).to_pylist()
+            words = sorted(w for w in rows if len(w) <= 64)
+        discard(frequent)
         digest.update(b"\0".join(words))
     key = digest.hexdigest()[:24]
     path = local_path(f"{shared_dir(spark)}/lexicon-{key}.bin")
