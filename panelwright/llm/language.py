@@ -320,7 +320,7 @@ def fit(df: DataFrame, text: str, label: str, id_col: str, documents: int = SAMP
     shared folder under the content of its sample.
     """
     spellings = df.groupBy(F.col(label).alias("l")).count()  # reads the labels only
-    counts = spellings.groupBy(label_code(F.col("l")).alias("l")).agg(F.sum("count").alias("count")).filter(F.col("l").isin(TWO_LETTER) | (F.col("count") >= LEAST_DOCUMENTS)).orderBy(F.desc("count"), "l").collect()
+    counts = spellings.groupBy(label_code(F.col("l")).alias("l")).agg(F.sum("count").alias("count")).filter(F.col("l").isNotNull() & (F.col("l").isin(TWO_LETTER) | (F.col("count") >= LEAST_DOCUMENTS))).orderBy(F.desc("count"), "l").collect()
     if not counts:
         return train([], [])
     total = sum(r["count"] for r in counts)
