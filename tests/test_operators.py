@@ -98,9 +98,36 @@ def test_storage_batches(spark):
     assert rows(M.storage_batches(df, "g", ["i"], "n", 100), "i", "batch") == [(0, 1), (1, 1), (2, 2), (3, 2), (4, 3)]
 
 
+def greedy_quotas(counts, total):
+    """Seats one by one: whole shares (at least one where all can have one), then up or down by the distance from the share."""
+    from fractions import Fraction
+
+    size = sum(counts.values())
+    total = min(total, size)
+    share = {k: Fraction(total * n, size) if size else Fraction(0) for k, n in counts.items()}
+    least = {k: int(n > 0 and total >= sum(m > 0 for m in counts.values())) for k, n in counts.items()}
+    out = {k: min(n, max(least[k], int(share[k]))) for k, n in counts.items()}
+    while sum(out.values()) != total:
+        step = 1 if sum(out.values()) < total else -1
+        free = [k for k in counts if (out[k] < counts[k] if step > 0 else out[k] > least[k])]
+        out[max(free, key=lambda k: (step * (share[k] - out[k]), str(k)))] += step
+    return out
+
+
+def test_quotas_seat_by_seat(spark):
+    import random
+
+    rng = random.Random(3)
+    cases = [{"a": 100, "b": 20}, {"a": 1000, "b": 1}, {"a": 0, "b": 3}, {"a": 7, "b": 7, "c": 7}, {k: 1 for k in "abcdefgh"} | {"z": 500}] + [{chr(97 + i): rng.choice([0, 1, 1, 2, 5, 90, 300]) for i in range(rng.randint(1, 9))} for _ in range(40)]
+    totals = [rng.randint(0, 40) for _ in cases]
+    rows = [(i, t, k, n) for i, (c, t) in enumerate(zip(cases, totals)) for k, n in c.items()]
+    got: dict = {}
+    for r in M.proportional(spark.createDataFrame(rows, "g int, t long, k string, n long"), ["g"], "k", "n", F.col("t")).collect():
+        got.setdefault(r["g"], {})[r["k"]] = r["quota"]
+    assert got == {i: greedy_quotas(c, t) for i, (c, t) in enumerate(zip(cases, totals))}
+
+
 def test_quotas_and_sample(spark):
-    assert M.quotas({"a": 100, "b": 20}, 30) == {"a": 25, "b": 5}
-    assert M.quotas({"a": 1000, "b": 1}, 2) == {"a": 1, "b": 1} and M.quotas({}, 5) == {}
     df = spark.createDataFrame([(i, "k" if i % 6 else "a", 2000 + i % 4) for i in range(120)], "id int, form string, y int")
     one = rows(M.stratified_sample(df, "form", "y", "id", 30, "s"), "id")
     assert len(one) == 30 and one == rows(M.stratified_sample(df.repartition(7), "form", "y", "id", 30, "s"), "id")

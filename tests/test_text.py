@@ -3,18 +3,19 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.operators import audit as A
 from panelwright.operators import evidence as E
 from panelwright.operators import scoring as S
 from panelwright.operators import text as W
-from panelwright.operators.lexicon import DEFAULT_TERMS, Matcher
+from panelwright.operators.lexicon import DEFAULT_TERMS, Scanner, Term
 
-M = Matcher(DEFAULT_TERMS)
+M = Scanner(DEFAULT_TERMS)
 
 
 def names(text):
-    return [m.term.name for m in M.routed(text)]
+    return [m.term.name for m in M.route(text)]
 
 
 @pytest.mark.parametrize("text", ["We use AI.", "ML and NLP.", "A.I. systems", "XGBoost and Keras", "We integrated Claude into our chatbot", "Microsoft Copilot is used"])
@@ -28,7 +29,7 @@ def test_not_routed(text):
 
 
 def test_all_terms_takes_the_longest():
-    assert [m.term.name for m in M.all_terms("generative artificial intelligence and a learning model")] == ["generative_artificial_intelligence", "learning_model"]
+    assert [m.term.name for m in M.retrieve("generative artificial intelligence and a learning model")] == ["generative_artificial_intelligence", "learning_model"]
 
 
 def test_html():
@@ -46,17 +47,17 @@ def test_submission_body():
 
 def test_windows_merge_and_count():
     text = " ".join(f"Sentence {i} has {'AI' if i in (2, 4, 8) else 'nothing'}." for i in range(1, 10))
-    got = W.windows(text, M.all_terms, 1)
+    got = W.windows(text, M.retrieve, 1)
     assert [(r[0], r[1], r[2], r[3]) for r in got] == [(1, 0, 4, 2), (2, 6, 8, 1)]
 
 
 def test_equal_windows_are_one():
-    got = W.windows("We use AI. Other words. We use AI.", M.all_terms, 0)
+    got = W.windows("We use AI. Other words. We use AI.", M.retrieve, 0)
     assert [(r[0], r[3], r[8]) for r in got] == [(1, 2, 2)]
 
 
 def test_windows_of_nothing():
-    assert W.windows("", M.all_terms, 1) == [] and W.windows("no hit", M.all_terms, 1) == []
+    assert W.windows("", M.retrieve, 1) == [] and W.windows("no hit", M.retrieve, 1) == []
 
 
 FILINGS = [
@@ -131,29 +132,84 @@ def test_segments_are_bounded():
     assert " ".join(parts).split() == text.split()
 
 
-def test_ranking_prefers_current_use():
-    use = E.anchor("We currently use AI in production across our operations.", 0, M)
-    plan = E.anchor("We plan to explore artificial intelligence in the future.", 1, M)
-    assert use.band == 5 and use.rank() < plan.rank() and plan.negative < 0
+def anchors_of(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("position", F.lit("clash"))
+    return E.anchors(df, ["id"], "text", DEFAULT_TERMS).collect()
 
 
-def test_near_duplicates_and_budget():
+def snippets_of(spark, texts, budget, reach=1, terms=DEFAULT_TERMS):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    return [r["snippet"] for r in E.snippets(df, ["id"], "text", terms, budget, reach).orderBy("id").collect()]
+
+
+def test_ranking_prefers_current_use(spark):
+    use, plan = sorted(anchors_of(spark, "We currently use AI in production across our operations.\nWe plan to explore artificial intelligence in the future."), key=lambda r: r["rank"])
+    assert use["quality_band"] == 5 and (use["rank"], plan["rank"]) == (1, 2) and plan["negation_or_future_score"] < 0
+
+
+# Text, quality band, operational, current use and negative score, total.
+SCORED = [
+    ("We use machine learning in our products.", 5, 6, 3, 0, 99),
+    ("Competitors use AI.", 2, 6, 0, -3, 73),
+    ("The system was deployed with deep learning.", 4, 6, 3, 0, 99),
+    ("Demand for AI grows.", 2, 0, 0, -2, 68),
+    ("We do not use neural networks.", 2, 6, 0, -6, 90),
+    ("Predictive models are a potential risk.", 1, 0, 0, -9, 21),
+    ("A kernel method is named.", 0, 0, 0, 0, 50),
+]
+
+
+@pytest.mark.parametrize("text,band,near,use,against,total", SCORED)
+def test_scores(spark, text, band, near, use, against, total):
+    (r,) = anchors_of(spark, text)
+    assert (r["quality_band"], r["operational_score"], r["current_use_score"], r["negation_or_future_score"], r["total_score"]) == (band, near, use, against, total)
+
+
+def test_anchors_of_nothing(spark):
+    assert anchors_of(spark, "", None, "No term at all.") == []
+    assert E.anchors(spark.createDataFrame([], "id int, text string"), ["id"], "text", DEFAULT_TERMS).count() == 0
+
+
+def test_near_duplicates_and_budget(spark):
     a = "We use machine learning models to detect fraud in all payment flows of our platform."
     b = "Table of Contents " + a.replace("use", "used")
     assert E.alike(a, b) and not E.alike(a, "Something else entirely is written here about leases and other matters.")
     text = "\n".join([a, b, *("Risk factors about the market and machine learning number %d may apply." % i for i in range(40))])
     for budget in (60, 180, 300, 1000):
-        got = E.snippet(text, budget, 1, M)
+        got = snippets_of(spark, [text], budget)[0]
         assert 0 < len(got) <= budget
-    assert E.snippet(text, 0, 1, M) == text and E.snippet("short", 100, 1, M) == "short" and E.snippet("", 100, 1, M) == ""
+    assert snippets_of(spark, [text, None, " x "], 0) == [text, "", "x"] and snippets_of(spark, ["short", "", None], 100) == ["short", "", ""]
     with pytest.raises(ValueError):
-        E.snippet("x", -1, 1, M)
+        snippets_of(spark, ["x"], -1)
+
+
+def test_context_comes_before_and_after(spark):
+    lines = ["The first line is about leases.", "The second line tells of costs.", "We use machine learning here.", "The fourth line is about taxes.", "The last line ends."]
+    assert snippets_of(spark, ["\n".join(lines)], 110) == ["\n\n".join(lines[1:4])] and snippets_of(spark, ["\n".join(lines)], 110, 0) == [lines[2]]
+
+
+@pytest.mark.parametrize("focus", ["head", "tail", (150, 158), (0, 5), (390, 399)])
+def test_clip(focus):
+    text = "".join(f"word{i} " for i in range(60)).strip()
+    for limit in (0, 3, 20, 100, 399, 1000):
+        got = E.clip(text, limit, focus)
+        assert len(got) <= limit and (limit < len(text) or got == text)
+    assert E.clip(text, 62, "head").startswith("word0 ") and E.clip(text, 64, "head").endswith(" ...") and E.clip(text, 60, "tail").endswith("word59") and text[150:158] in E.clip(text, 60, (150, 158))
+
+
+def test_scanner_against_all_patterns():
+    """The automaton finds what searching with every pattern finds, also folded letters and terms without a literal opening."""
+    texts = ["ſpeech recognition and ARTİFİCİAL INTELLIGENCE", "AI/ML, (ML), A.I., LLMs; GPT-4.5 and ChatGPT", "deep-learning deep learning", "", "xAI AI-1 AI"]
+    terms = [*DEFAULT_TERMS, Term("digits", r"[0-9]+", "plain", 5, 5)]
+    for text in texts:
+        want = {(m.start(), m.end(), i) for i, t in enumerate(terms) for m in re.finditer(t.pattern, text, 0 if t.exact_case else re.I)}
+        assert set(Scanner(terms)._found(text)) == want
 
 
-def test_sampled_without_a_term():
+def test_sampled_without_a_term(spark):
     text = "\n".join(f"Line {i} of a long filing about nothing in particular, with automation here." if i == 5 else f"Line number {i} is about leases {i} and other item {i}." for i in range(100))
-    got = E.snippet(text, 300, 1, M)
-    assert "Line number 0" in got and len(got) <= 300
+    (got,) = snippets_of(spark, [text], 300)
+    assert "Line number 0" in got and "Line 5" in got and len(got) <= 300
 
 
 @pytest.mark.parametrize("answer,want", [("2", (2, "ok")), ('{"score": 3}', (3, "ok")), ("2 or 3", (None, "conflicting_scores")), ("", (None, "missing_output")), (None, (None, "missing_output")), ("none", (None, "no_score_found")), ("評価は3です", (None, "no_score_found")), ('{"score": "2", "note": "a } b"}', (2, "ok"))])
