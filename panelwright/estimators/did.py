@@ -23,11 +23,18 @@ def did_sample(panel: DataFrame, firm: str, year: str, cohort: str, outcome: str
 
 
 def changes(sample: DataFrame) -> DataFrame:
-    """(firm, cohort, t, b, dy, x0..): change from every earlier year b of the same firm; covariates of the earlier year."""
+    """(firm, cohort, t, b, dy, x0..): change from an earlier year b of the same firm; covariates of the earlier year.
+
+    Of the earlier years only those that a cell compares with are joined: the year before, and the year before each cohort's
+    first that the firm is treated in or not yet treated by. The cohorts, at most one per year, are listed on the driver.
+    """
     xs = [c for c in sample.columns if c.startswith("x")]
-    late = sample.select("firm", "cohort", F.col("year").alias("t"), F.col("y").alias("__y"))
-    early = sample.select("firm", F.col("year").alias("b"), F.col("y").alias("__z"), *xs)
-    return late.join(early, "firm").filter("b < t").select("firm", "cohort", "t", "b", (F.col("__y") - F.col("__z")).alias("dy"), *xs)
+    cohorts = F.array(*(F.lit(r[0]) for r in sample.filter("cohort > 0").select("cohort").distinct().orderBy("cohort").collect())).cast("array<int>")
+    own, t = F.col("cohort"), F.col("year")
+    bases = F.transform(F.filter(cohorts, lambda g: (g <= t) & ((g == own) | (own == 0) | (own > t))), lambda g: g - 1)
+    late = sample.select("firm", "cohort", t.alias("t"), F.col("y").alias("__y"), F.explode(F.array_distinct(F.concat(F.array((t - 1).cast("int")), bases))).alias("b"))
+    early = sample.select("firm", t.cast("int").alias("b"), F.col("y").alias("__z"), *xs)
+    return late.join(early, ["firm", "b"]).select("firm", "cohort", "t", "b", (F.col("__y") - F.col("__z")).alias("dy"), *xs)
 
 
 def _cells(pairs: DataFrame) -> DataFrame:

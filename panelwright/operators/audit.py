@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names of the patterns that audit_windows takes; values are Java regular expressions, case ignored by (?i).
@@ -37,19 +37,27 @@ DEFAULT_PATTERNS = {
 }
 
 
-def sentence_rows(df: DataFrame, key: str, text: str, split: str = r"(?<=[.!?;])\s+") -> DataFrame:
-    """(key, sentence_index, sentence) of the text with white space collapsed; blank sentences left out."""
+def sentences_of(text: str, split: str = r"(?<=[.!?;])\s+") -> Column:
+    """The sentences of a text with white space collapsed, blank ones left out."""
     clean = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    parts = df.select(key, F.posexplode(F.filter(F.split(clean, split), lambda x: F.trim(x) != "")).alias("sentence_index", "sentence"))
-    return parts.withColumn("sentence", F.trim("sentence"))
+    return F.filter(F.transform(F.split(clean, split), F.trim), lambda x: x != "")
+
+
+def sentence_rows(df: DataFrame, key: str, text: str, split: str = r"(?<=[.!?;])\s+") -> DataFrame:
+    """(key, sentence_index, sentence)."""
+    return df.select(key, F.posexplode(sentences_of(text, split)).alias("sentence_index", "sentence"))
 
 
 def audit_windows(df: DataFrame, key: str, text: str, patterns: dict[str, str], split: str = r"(?<=[.!?;])\s+") -> DataFrame:
-    """Candidate sentences (strong or broad pattern) with their neighbours as window, hit counts, score and label."""
-    w = Window.partitionBy(key).orderBy("sentence_index")
-    rows = sentence_rows(df, key, text, split)
-    rows = rows.withColumn("window", F.concat_ws(" ", F.lag("sentence").over(w), F.col("sentence"), F.lead("sentence").over(w)))
+    """Candidate sentences (strong or broad pattern) with their neighbours as window, hit counts, score and label.
+
+    Neighbours are taken from the text's array of sentences before it becomes rows, so nothing is shuffled.
+    """
+    texts = df.select(key, sentences_of(text, split).alias("__s"))
+    rows = texts.select(key, "__s", F.posexplode("__s").alias("sentence_index", "sentence"))
     rows = rows.filter(F.col("sentence").rlike(patterns["strong"]) | F.col("sentence").rlike(patterns["broad"]))
+    first = F.greatest(F.col("sentence_index") - 1, F.lit(0))
+    rows = rows.withColumn("window", F.concat_ws(" ", F.slice("__s", first + 1, F.col("sentence_index") + 2 - first))).drop("__s")
     rows = rows.withColumns({f"{p}_hits": F.regexp_count("window", F.lit(patterns[p])) for p in ("strong", "broad", "operational", "first_person", "low_value")})
     rows = rows.withColumns({"adoption": F.col("window").rlike(patterns["adoption"]), "market": F.col("window").rlike(patterns["market"])})
     has = {p: F.col(f"{p}_hits") > 0 for p in ("strong", "broad", "operational", "first_person", "low_value")}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.exprs import normal_p
+from panelwright.operators.quantiles import exact_quantiles, wide_quantiles
 
 
 def to_long(df: DataFrame, keys: list[str], columns: list[str], name: str = "variable", value: str = "value") -> DataFrame:
@@ -21,21 +22,28 @@ def to_wide(df: DataFrame, keys: list[str], name: str, value: str, names: list[s
     return df.groupBy(*keys).agg(*(F.max(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names))
 
 
-def _q(p: float) -> Column:
-    return F.percentile("value", F.lit(p))
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the columns of right, which has at most one row per key; null keys are equal."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    renamed = right.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    return left.join(renamed, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
 
 
 def summary_table(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Per variable, and group if by is given: n, mean, sd, min, p25, median, p75, max of the known values."""
-    long = to_long(df, by or [], columns)
-    stats = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), _q(0.25).alias("p25"), _q(0.5).alias("median"), _q(0.75).alias("p75"), F.max("value").alias("max")]
-    return long.groupBy(*(by or []), "variable").agg(*stats)
+    keys, long = [*(by or []), "variable"], to_long(df, by or [], columns)
+    stats = long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    quartiles = wide_quantiles(long, keys, "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return _beside(stats, quartiles, keys).select(*keys, "n", "mean", "sd", "min", "p25", "median", "p75", "max")
 
 
 def quick_stats(df: DataFrame, column: str) -> DataFrame:
     """One row: N, mean, sd, p01, p05, p50, p95, p99."""
     one = df.select(F.col(column).cast("double").alias("value"))
-    return one.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), *(_q(p / 100).alias(f"p{p:02d}") for p in (1, 5, 50, 95, 99)))
+    stats = one.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return _beside(stats, wide_quantiles(one, [], "value", {f"p{p:02d}": p / 100 for p in (1, 5, 50, 95, 99)}), [])
 
 
 def correlation(df: DataFrame, x: str, y: str, least: int = 5, by: list[str] | None = None) -> DataFrame:
@@ -78,7 +86,10 @@ def standardized_difference(df: DataFrame, arm: str, columns: list[str]) -> Data
     long = to_long(df.filter(F.col(arm).isNotNull()), [arm], columns)
     t, c = (F.when(F.col(arm).cast("boolean") == F.lit(v), F.col("value")) for v in (True, False))
     pooled = F.sqrt((F.var_samp(t) + F.var_samp(c)) / 2)
-    return long.groupBy("variable").agg(F.try_divide(F.avg(t) - F.avg(c), pooled).alias("smd"), F.percentile(t, F.lit(0.5)).alias("median_treated"), F.percentile(c, F.lit(0.5)).alias("median_control"))
+    smd = long.groupBy("variable").agg(F.try_divide(F.avg(t) - F.avg(c), pooled).alias("smd"))
+    medians = exact_quantiles(long.withColumn("__arm", F.col(arm).cast("boolean")), ["variable", "__arm"], "value", [0.5])
+    of = lambda v: F.max(F.when(F.col("__arm") == F.lit(v), F.col("quantile")))
+    return _beside(smd, medians.groupBy("variable").agg(of(True).alias("median_treated"), of(False).alias("median_control")), ["variable"])
 
 
 def firm_year_maximum(filings: DataFrame, firm: str, year: str, score: str, status: str, accession: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.functions.exprs import clip, null_count, null_sum, plain_ratio, ratio, safe_log
+from panelwright.operators.quantiles import exact_quantiles
 
 
 def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -38,11 +39,16 @@ def consecutive_lags(df: DataFrame, firm: str, year: str, columns: list[str], su
 def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, suffix: str = "_w") -> DataFrame:
     """Adds each column clipped to its own exact quantiles over the whole table (linear interpolation); null stays null.
 
-    The quantiles come from one aggregate row. A column of nulls alone stays null.
+    The quantiles are those of exact_quantiles; as one row they are joined to the table. A column of nulls alone stays null.
     """
-    bounds = df.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__b{i}") for i, c in enumerate(columns)))
+    from panelwright.operators.describe import to_long
+
+    numbered = df.select(*(F.col(c).alias(str(i)) for i, c in enumerate(columns)))
+    found = exact_quantiles(to_long(numbered, [], numbered.columns), ["variable"], "value", [low, high])
+    pick = lambda i, p: F.max(F.when((F.col("variable") == str(i)) & (F.col("p") == p), F.col("quantile")))
+    bounds = found.agg(*(F.struct(pick(i, low).alias("a"), pick(i, high).alias("b")).alias(f"__b{i}") for i in range(len(columns))))
     joined = df.crossJoin(F.broadcast(bounds))  # one row
-    out = joined.withColumns({f"{c}{suffix}": clip(F.col(c), F.col(f"__b{i}")[0], F.col(f"__b{i}")[1]) for i, c in enumerate(columns)})
+    out = joined.withColumns({f"{c}{suffix}": clip(F.col(c), F.col(f"__b{i}.a"), F.col(f"__b{i}.b")) for i, c in enumerate(columns)})
     return out.drop(*(f"__b{i}" for i in range(len(columns))))
 
 

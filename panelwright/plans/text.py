@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import exprs as X
@@ -10,15 +11,15 @@ from panelwright.operators import evidence as E
 from panelwright.operators import paths as H
 from panelwright.operators import scoring as S
 from panelwright.operators import text as W
-from panelwright.operators.lexicon import DEFAULT_TERMS, Term
+from panelwright.operators.lexicon import DEFAULT_TERMS
 from panelwright.plans.common import Registry, table
 
 registry = Registry()
 add = registry.add
 
-#: Lexicon of plain words for the queries with SQL. The whole job is in the queries named *_full, over DEFAULT_TERMS and DEFAULT_PATTERNS.
-SIMPLE = [Term(w.replace(" ", "_"), w, "plain", 5, 5, True) for w in ("speech recognition", "artificial intelligence", "a limited pilot", "risk")]
-_WORDS = "|".join(t.pattern for t in SIMPLE)
+#: The lexicon without the terms whose patterns need lookarounds, which the SQL engine lacks. Those are in the queries named *_full.
+PLAIN = [t for t in DEFAULT_TERMS if "(?<" not in t.pattern]
+_WORDS = "|".join(t.pattern if t.exact_case else f"(?i:{t.pattern})" for t in PLAIN)
 
 #: White space in the SQL engine's regular expressions, and as characters to trim.
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -36,7 +37,7 @@ def sentence_spans(spark, d):
 
 @add(f"WITH {_SENT}, h AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_WORDS}')) AS matched FROM docs) SELECT doc_id, matched, count(*) AS n FROM h GROUP BY doc_id, matched")
 def lexicon_hits(spark, d):
-    return W.lexicon_hits(table(spark, d, "documents"), ["doc_id"], "text", SIMPLE).groupBy("doc_id", "matched").agg(F.count(F.lit(1)).alias("n"))
+    return W.lexicon_hits(table(spark, d, "documents"), ["doc_id"], "text", PLAIN).groupBy("doc_id", "matched").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Matches that don't cross a sentence boundary, which the plain words can't.
@@ -49,18 +50,18 @@ uni AS (SELECT doc_id, min(a) AS a, CAST(sum(n) AS INT) AS n, CAST(count(*) AS I
 
 @add(f"WITH {_WIN} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) AS INT) AS window_id, CAST(a AS INT) AS sentence_start, n AS keyword_hit_count, t AS window_text, h AS text_sha256, occ AS duplicate_occurrences FROM uni")
 def keyword_windows(spark, d):
-    return W.keyword_windows(table(spark, d, "documents"), ["doc_id"], "text", SIMPLE, 1).select("doc_id", "window_id", "sentence_start", "keyword_hit_count", "window_text", "text_sha256", "duplicate_occurrences")
+    return W.keyword_windows(table(spark, d, "documents"), ["doc_id"], "text", PLAIN, 1).select("doc_id", "window_id", "sentence_start", "keyword_hit_count", "window_text", "text_sha256", "duplicate_occurrences")
 
 
 @add(f"WITH {_WIN} SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS windows FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM uni GROUP BY doc_id) u USING (doc_id)")
 def no_hit_sentinels(spark, d):
-    rows = W.with_sentinels(table(spark, d, "documents"), ["doc_id"], "text", SIMPLE, 1)
+    rows = W.with_sentinels(table(spark, d, "documents"), ["doc_id"], "text", PLAIN, 1)
     return rows.groupBy("doc_id").agg(F.count_if(F.col("window_id") > 0).alias("windows"))
 
 
 @add(f"WITH {_WIN} SELECT doc_id, string_agg(trim(t), E'\\n\\n' ORDER BY a) AS combined_text, CAST(length(string_agg(trim(t), E'\\n\\n' ORDER BY a)) AS INT) AS combined_chars FROM uni GROUP BY doc_id")
 def windows_to_filing(spark, d):
-    return W.join_texts(W.keyword_windows(table(spark, d, "documents"), ["doc_id"], "text", SIMPLE, 1), ["doc_id"], "window_text", ["window_id"])
+    return W.join_texts(W.keyword_windows(table(spark, d, "documents"), ["doc_id"], "text", PLAIN, 1), ["doc_id"], "window_text", ["window_id"])
 
 
 @add()
@@ -107,9 +108,8 @@ def segments_to_filing(spark, d):
 
 @add("""SELECT anchor_id, CAST(row_number() OVER (PARTITION BY accession_number, cik ORDER BY quality_band DESC, total_score DESC, keyword_weight DESC, routing_weight DESC, length(anchor_text) DESC, seg_position, anchor_id) AS INT) AS rank FROM anchors""")
 def ranked_anchors(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("accession_number", "cik").orderBy(F.desc("quality_band"), F.desc("total_score"), F.desc("keyword_weight"), F.desc("routing_weight"), F.char_length("anchor_text").desc(), "seg_position", "anchor_id")
+    order = E.rank_of(F.col("quality_band"), F.col("total_score"), F.col("keyword_weight"), F.col("routing_weight"), F.col("anchor_text"), F.col("seg_position"), F.col("anchor_id"))
+    w = Window.partitionBy("accession_number", "cik").orderBy(*order)
     return table(spark, d, "anchors").select("anchor_id", F.row_number().over(w).alias("rank"))
 
 
