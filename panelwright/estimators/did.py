@@ -65,6 +65,11 @@ def by_cohort(cells: DataFrame) -> DataFrame:
     return cells.filter("t >= g").groupBy("g").agg(F.max("n_treated").alias("n_treated"), F.avg("att").alias("att"))
 
 
+def overall(cohorts: DataFrame) -> DataFrame:
+    """One row: the cohorts' effects weighted by their treated firms; null without a cohort."""
+    return cohorts.agg(F.count(F.lit(1)).alias("cohorts"), F.sum("n_treated").alias("n_treated"), F.try_divide(F.sum(F.col("n_treated") * F.col("att")), F.sum("n_treated").cast("double")).alias("att"))
+
+
 def by_event_time(cells: DataFrame, first: int = -4, last: int = 6) -> DataFrame:
     """Effect by years since treatment, cells weighted by their treated firms."""
     e = F.col("t") - F.col("g")

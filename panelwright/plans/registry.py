@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.plans import describe, estimates, event_time, manifest, panel, text
+from panelwright.plans import describe, estimates, event_time, manifest, panel, runs, text
 
-MODULES = [event_time, panel, describe, manifest, text, estimates]
+MODULES = [event_time, panel, describe, manifest, text, estimates, runs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
