@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.estimators import did as D
+from panelwright.estimators import doubly_robust as B
 from panelwright.estimators import lpm as L
 from panelwright.plans.common import SQL_UNIQUE, Registry, rounded, unique_panel
 
@@ -54,6 +55,25 @@ def att_gt_adjusted(spark, d):
     return D.att_gt_adjusted(_sample(spark, d, ["che"]))
 
 
+@add(f"WITH {_SAMPLE} SELECT CAST(g AS INT) AS g, CAST(t AS INT) AS t, n_treated, n_control, round(att, 6) AS att, round(se, 6) AS se FROM cells WHERE n_control > 1")
+def att_gt_robust(spark, d):
+    """Without covariates the doubly robust estimate and its error are those of mean changes."""
+    return rounded(B.att_gt_robust(_sample(spark, d))[0])
+
+
+@add()
+def att_gt_robust_adjusted(spark, d):
+    """Doubly robust with a covariate; tested against NumPy."""
+    return B.att_gt_robust(_sample(spark, d, ["che"]))[0]
+
+
+@add()
+def att_robust_bootstrap(spark, d):
+    """Effects by event time with 1,000 multiplier draws; errors tested against the analytic ones."""
+    effects = B.dynamic_effects(_sample(spark, d, ["che"]))["effects"]
+    return spark.createDataFrame([tuple(e.values()) for e in effects], "event_time int, att double, se double, low double, high double")
+
+
 _DOSE = f"""{SQL_UNIQUE}, r AS (SELECT firm, fyear AS year, ai_adopted + CAST(coalesce(datadate > first_ai3_filing_date, FALSE) AS INT) AS dose, ln(total_assets) AS y FROM uniq WHERE ai_adopted IS NOT NULL AND total_assets > 0), i AS (SELECT *, first_value(dose) OVER (PARTITION BY firm ORDER BY year) AS d FROM r),
 k AS (SELECT firm, min(d) AS d, min(CASE WHEN dose <> d THEN year END) AS f FROM i GROUP BY firm), n AS (SELECT k.*, sign(r.dose - k.d) AS s FROM k LEFT JOIN r ON r.firm = k.firm AND r.year = k.f),
 p AS (SELECT n.firm, d, f, s, a.year AS t, b.year AS b, a.y - b.y AS dy FROM r a JOIN r b ON a.firm = b.firm AND a.year > b.year AND a.year - b.year <= 4 JOIN n ON n.firm = a.firm),
