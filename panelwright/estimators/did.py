@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -168,40 +168,105 @@ def att_gt_adjusted(sample: DataFrame) -> DataFrame:
     return sample.sparkSession.createDataFrame(out, "g int, t int, n_treated long, n_control long, att double")
 
 
-def switcher_effects(panel: DataFrame, firm: str, year: str, dose: str, outcome: str, effects: int = 4, placebos: int = 4) -> DataFrame:
-    """(kind, step, n_switchers, did, dose_change, normalized): effects of first changes of an ordinal dose.
+def residualized(rows: DataFrame, xs: list[str]) -> DataFrame:
+    """rows (firm, year, d, f, y and controls) with y less what the controls explain.
 
-    A switcher with baseline dose d and first change in year F is compared, from F - 1 on over step years (for a placebo
-    back to F - 1 - step), with firms of the same baseline that have not changed by the later year; a lower dose counts
-    with the opposite sign. did is the mean over switchers, dose_change the mean cumulative absolute change of the dose.
-    Rows with a null dose or outcome are left out; (firm, year) must be unique.
+    For each baseline dose changes of y from one year to the next are regressed on those of the controls, year by year
+    demeaned, over firms that have not changed yet. Sums of products per dose reach the driver, one small system each.
+    """
+    w = Window.partitionBy("firm").orderBy("year")
+    step = lambda c: F.when(F.lag("year").over(w) == F.col("year") - 1, F.col(c) - F.lag(c).over(w))
+    names = ["y", *xs]
+    diff = rows.select("d", "year", "f", *(step(c).alias(f"__{c}") for c in names)).filter(F.col("f").isNull() | (F.col("year") < F.col("f"))).dropna(subset=[f"__{c}" for c in names])
+    means = diff.groupBy("d", "year").agg(*(F.avg(f"__{c}").alias(f"__m{c}") for c in names))
+    flat = diff.join(means, ["d", "year"]).select("d", *((F.col(f"__{c}") - F.col(f"__m{c}")).alias(c) for c in names))
+    sums = flat.groupBy("d").agg(*(F.sum(F.col(a) * F.col(b)).alias(f"p_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i)).collect()
+    k = len(names)
+    slopes = [(r["d"], [float(v) for v in np.linalg.pinv(np.array([[r[f"p_{min(i, j)}_{max(i, j)}"] for j in range(1, k)] for i in range(1, k)])) @ np.array([r[f"p_0_{j}"] for j in range(1, k)])]) for r in sums]
+    kind = dict(rows.dtypes)["d"]
+    theta = rows.sparkSession.createDataFrame(slopes, f"d {kind}, __s array<double>")
+    fit = sum((F.coalesce(F.col("__s")[i], F.lit(0.0)) * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
+    return rows.join(F.broadcast(theta), "d", "left").withColumn("y", F.col("y") - fit).drop("__s")  # one row per dose
+
+
+def switcher_cells(panel: DataFrame, firm: str, year: str, dose: str, outcome: str, effects: int, placebos: int, controls: list[str] | None = None, strata: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(estimates, influence, rows): kind, step, n_switchers, did; firm, kind, step, influence; and the rows used.
+
+    A switcher's change is compared with the mean of its cell: firms of the same baseline dose, and strata if given, over the
+    same years that have not changed by the later one.
     """
     from panelwright.operators.paths import first_switch
 
-    rows = panel.dropna(subset=[firm, year, dose, outcome]).select(F.col(firm).alias("firm"), F.col(year).alias("year"), F.col(dose).alias("dose"), F.col(outcome).cast("double").alias("y"))
+    xs, zs = [f"__x{i}" for i in range(len(controls or []))], [f"__z{i}" for i in range(len(strata or []))]
+    rows = panel.dropna(subset=[firm, year, dose, outcome, *(controls or []), *(strata or [])])
+    rows = rows.select(F.col(firm).alias("firm"), F.col(year).alias("year"), F.col(dose).alias("dose"), F.col(outcome).cast("double").alias("y"), *(F.col(c).cast("double").alias(x) for c, x in zip(controls or [], xs)), *(F.col(c).alias(z) for c, z in zip(strata or [], zs)))
     info = first_switch(rows, "firm", "year", "dose").select("firm", F.col("initial").alias("d"), F.col("first_switch_year").alias("f"), F.col("direction").alias("s"))
     rows = rows.join(info, "firm")
-    late = rows.select("firm", "d", "f", "s", F.col("year").alias("t"), F.col("y").alias("__y"))
+    if xs:
+        rows = residualized(rows, xs)
+    reach = max(effects, placebos)
+    late = rows.select("firm", "d", "f", "s", *zs, F.col("year").alias("t"), F.col("y").alias("__y"), F.explode(F.sequence(F.col("year") - reach, F.col("year") - 1)).alias("b"))
     early = rows.select("firm", F.col("year").alias("b"), F.col("y").alias("__z"))
-    pairs = late.join(early, "firm").filter((F.col("t") > F.col("b")) & (F.col("t") - F.col("b") <= max(effects, placebos))).withColumn("dy", F.col("__y") - F.col("__z"))
-
-    def arm(kind: str, base: Column, later: Column, steps: int) -> DataFrame:
-        # Of a switcher the pair that ends or begins at F - 1; of a control every pair before its own change.
-        step = (F.col("t") - F.col("b")).alias("step")
-        switch = pairs.filter((base == F.col("f") - 1) & (F.col("t") - F.col("b") <= steps)).groupBy("d", "b", "t", "s", step).agg(F.count(F.lit(1)).alias("n"), F.avg("dy").alias("m"))
-        # The placebo's controls, too, must not have changed by the year of comparison after F - 1.
-        still = F.col("f").isNull() | (F.col("f") > later)
-        control = pairs.filter(still).groupBy("d", "b", "t").agg(F.avg("dy").alias("c"))
-        joined = switch.join(control, ["d", "b", "t"])
-        sign = -1 if kind == "placebo" else 1
-        return joined.groupBy("step").agg(F.sum("n").alias("n_switchers"), (F.sum(sign * F.col("s") * F.col("n") * (F.col("m") - F.col("c"))) / F.sum("n")).alias("did")).select(F.lit(kind).alias("kind"), "step", "n_switchers", "did")
-
-    effect = arm("effect", F.col("b"), F.col("t"), effects)
-    placebo = arm("placebo", F.col("t"), F.col("t") + F.col("t") - F.col("b"), placebos)
+    pairs = late.join(early, ["firm", "b"]).withColumn("dy", F.col("__y") - F.col("__z")).withColumn("step", (F.col("t") - F.col("b")).cast("int"))
+    cell = ["d", *zs, "b", "t"]
+    never = F.col("f").isNull()
+    # Of a switcher the pair that begins (effect) or ends (placebo) at F - 1; a placebo's controls, too, must not have changed by the year of comparison after F - 1.
+    arms = {"effect": (effects, F.col("b") == F.col("f") - 1, never | (F.col("f") > F.col("t")), 1), "placebo": (placebos, F.col("t") == F.col("f") - 1, never | (F.col("f") > F.col("t") + F.col("step")), -1)}
+    estimates, parts = [], []
+    for kind, (steps, switch, still, sign) in arms.items():
+        near = pairs.filter(F.col("step") <= steps)
+        control = near.filter(still)
+        means = control.groupBy(*cell).agg(F.avg("dy").alias("c"), F.count(F.lit(1)).alias("n0"))
+        moved = near.filter(switch).join(means, cell).withColumn("v", sign * F.col("s") * (F.col("dy") - F.col("c")))
+        found = moved.groupBy("step").agg(F.count(F.lit(1)).alias("n_switchers"), F.avg("v").alias("did"))
+        estimates.append(found.select(F.lit(kind).alias("kind"), "step", "n_switchers", "did"))
+        small = F.broadcast(found)  # one row per step
+        own = moved.join(small, "step").select("firm", "step", ((F.col("v") - F.col("did")) / F.col("n_switchers")).alias("i"))
+        weight = moved.groupBy(*cell).agg((sign * F.sum("s")).alias("__s"))
+        other = control.join(means, cell).join(weight, cell).join(small, "step").select("firm", "step", (-F.col("__s") * (F.col("dy") - F.col("c")) / (F.col("n0") * F.col("n_switchers"))).alias("i"))
+        parts.append(own.unionByName(other).groupBy("firm", "step").agg(F.sum("i").alias("influence")).select("firm", F.lit(kind).alias("kind"), "step", "influence"))
+    return estimates[0].unionByName(estimates[1]), parts[0].unionByName(parts[1]), rows
+
+
+def switcher_effects(panel: DataFrame, firm: str, year: str, dose: str, outcome: str, effects: int = 4, placebos: int = 4, controls: list[str] | None = None, strata: list[str] | None = None) -> DataFrame:
+    """(kind, step, n_switchers, did, se, dose_change, normalized): effects of first changes of an ordinal dose.
+
+    A switcher with baseline dose d and first change in year F is compared, from F - 1 on over step years (for a placebo
+    back to F - 1 - step), with firms of the same baseline that have not changed by the later year; a lower dose counts
+    with the opposite sign. did is the mean over switchers, se its error by firm, dose_change the mean cumulative absolute
+    change of the dose. controls are taken out by residualized, whose own error se leaves out; strata split the comparisons.
+    Rows with a null in any column used are left out; (firm, year) must be unique.
+    """
+    estimates, influence, rows = switcher_cells(panel, firm, year, dose, outcome, effects, placebos, controls, strata)
+    errors = influence.groupBy("kind", "step").agg(F.sqrt(F.sum(F.col("influence") ** 2)).alias("se"))
     # Cumulative change of dose from F to F - 1 + step.
     steps = rows.filter("f is not null").select("firm", (F.col("year") - F.col("f") + 1).alias("k"), F.abs(F.col("dose") - F.col("d")).alias("c")).filter(F.col("k").between(1, effects))
-    grid = rows.sparkSession.range(1, effects + 1).select(F.col("id").cast("int").alias("step"))
-    per_firm = steps.join(F.broadcast(grid), F.col("k") <= F.col("step")).groupBy("firm", "step").agg(F.sum("c").alias("c"), F.max("k").alias("k")).filter("k = step")
-    dose_change = per_firm.groupBy("step").agg(F.avg("c").alias("dose_change"))
-    out = effect.join(dose_change, "step", "left").select("kind", "step", "n_switchers", "did", "dose_change").unionByName(placebo.withColumn("dose_change", F.lit(None).cast("double")))
-    return out.withColumn("normalized", F.try_divide("did", "dose_change"))
+    running = Window.partitionBy("firm").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    change = steps.withColumn("c", F.sum("c").over(running)).groupBy(F.col("k").cast("int").alias("step")).agg(F.avg("c").alias("dose_change")).withColumn("kind", F.lit("effect"))
+    out = estimates.join(errors, ["kind", "step"]).join(change, ["kind", "step"], "left")
+    return out.select("kind", "step", "n_switchers", "did", "se", "dose_change", F.try_divide("did", "dose_change").alias("normalized"))
+
+
+def equal_effects(panel: DataFrame, firm: str, year: str, dose: str, outcome: str, effects: int = 4, **options) -> dict | None:
+    """Wald tests that all effects are equal and that all placebos are zero, by the firms' influences: {name: statistic, df, p_value}.
+
+    Cross products of the steps' influences reach the driver, their number squared.
+    """
+    estimates, influence, _ = switcher_cells(panel, firm, year, dose, outcome, effects, options.pop("placebos", effects), **options)
+    found = {(r["kind"], r["step"]): r["did"] for r in estimates.collect()}
+    names = sorted(found)
+    if not names:
+        return None
+    firms = influence.groupBy("firm").agg(*(F.sum(F.when((F.col("kind") == k) & (F.col("step") == s), F.col("influence")).otherwise(0.0)).alias(f"i{n}") for n, (k, s) in enumerate(names)))
+    sums = firms.agg(*(F.sum(F.col(f"i{a}") * F.col(f"i{b}")).alias(f"c{a}_{b}") for a in range(len(names)) for b in range(a, len(names)))).first()
+    out = {}
+    for name, kind in (("equal_effects", "effect"), ("no_placebo", "placebo")):
+        at = [n for n, (k, _) in enumerate(names) if k == kind]
+        if len(at) < 1 + (kind == "effect"):
+            continue
+        beta = np.array([found[names[n]] for n in at])
+        v = np.array([[sums[f"c{min(a, b)}_{max(a, b)}"] for b in at] for a in at], float)
+        r = np.eye(len(at))[1:] - np.eye(len(at))[:1] if kind == "effect" else np.eye(len(at))
+        statistic = float((r @ beta) @ np.linalg.pinv(r @ v @ r.T) @ (r @ beta))
+        out[name] = {"statistic": statistic, "df": len(r), "p_value": gamma_upper(len(r) / 2, statistic / 2)}
+    return out or None

@@ -88,6 +88,33 @@ def did_l_unconditional(spark, d):
     return rounded(D.switcher_effects(rows, "firm", "fyear", "dose", "y").select("kind", "step", "n_switchers", "did"))
 
 
+def _doses(spark, d):
+    rows = unique_panel(spark, d).filter("ai_adopted is not null and total_assets > 0")
+    return rows.select("firm", "fyear", (F.col("ai_adopted") + F.coalesce(F.col("datadate") > F.col("first_ai3_filing_date"), F.lit(False)).cast("int")).alias("dose"), F.ln("total_assets").alias("y"), F.coalesce("che", F.lit(0.0)).alias("che"), F.coalesce(F.substring("naics2", 1, 1), F.lit("")).alias("sector"))
+
+
+@add()
+def did_l_errors(spark, d):
+    """With a control and errors by firm; tested against resampled firms and least squares."""
+    return D.switcher_effects(_doses(spark, d), "firm", "fyear", "dose", "y", controls=["che"])
+
+
+_STRATA = _DOSE.replace("ln(total_assets) AS y FROM", "ln(total_assets) AS y, coalesce(substr(naics2, 1, 1), '') AS z FROM").replace("b.year AS b, a.y - b.y AS dy", "b.year AS b, a.y - b.y AS dy, a.z AS z").replace("SELECT d, b, t,", "SELECT d, z, b, t,")
+
+
+@add(f"""WITH {_STRATA} SELECT 'effect' AS kind, CAST(step AS INT) AS step, CAST(sum(n) AS BIGINT) AS n_switchers, round(sum(s * n * (m - c)) / sum(n), 6) AS did FROM e JOIN c USING (d, z, b, t) GROUP BY step
+    UNION ALL SELECT 'placebo', CAST(step AS INT), CAST(sum(n) AS BIGINT), round(sum(-s * n * (m - c)) / sum(n), 6) FROM q JOIN u USING (d, z, b, t) GROUP BY step""")
+def did_l_strata(spark, d):
+    return rounded(D.switcher_effects(_doses(spark, d), "firm", "fyear", "dose", "y", strata=["sector"]).select("kind", "step", "n_switchers", "did"))
+
+
+@add()
+def did_l_tests(spark, d):
+    """Equality of effects and absence of placebo effects; the tests' parts are checked in pytest."""
+    tests = D.equal_effects(_doses(spark, d), "firm", "fyear", "dose", "y") or {}
+    return spark.createDataFrame([(k, *v.values()) for k, v in tests.items()], "test string, statistic double, df int, p_value double")
+
+
 @add("""WITH k AS (SELECT naics2, CAST(ai_adopted AS DOUBLE) AS y, sale / 1000 AS x FROM analysis_panel WHERE ai_adopted IS NOT NULL AND sale IS NOT NULL AND naics2 IS NOT NULL), m AS (SELECT *, y - avg(y) OVER (PARTITION BY naics2) AS yy, x - avg(x) OVER (PARTITION BY naics2) AS xx FROM k)
     SELECT count(*) AS n, round(sum(xx * yy) / nullif(sum(xx * xx), 0), 6) AS slope FROM m""")
 def fwl_one_fe(spark, d):
