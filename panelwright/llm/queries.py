@@ -135,12 +135,41 @@ WITH keyed AS (
 """
 
 
+# Word sets of at least eight words per field, and pairs of classes of equal sets with a similarity of 0.75 or more.
+_SETS = """
+w AS (SELECT 'anchor_text' AS field, anchor_id AS id, list_sort(list_distinct(regexp_extract_all(lower(anchor_text), '[a-z0-9]+'))) AS s FROM anchors
+      UNION ALL SELECT 'snippet_text', snippet_id, list_sort(list_distinct(regexp_extract_all(lower(snippet_text), '[a-z0-9]+'))) FROM snippets),
+m AS (SELECT field, id, s, len(s) AS n, min(id) OVER (PARTITION BY field, s) AS rep, count(*) OVER (PARTITION BY field, s) AS copies FROM w WHERE len(s) >= 8),
+c AS (SELECT field, id, s, n FROM m WHERE id = rep),
+p AS (SELECT a.field, a.id AS a, b.id AS b FROM c a JOIN c b ON a.field = b.field AND a.id < b.id AND b.n BETWEEN 0.75 * a.n AND a.n / 0.75 WHERE len(list_intersect(a.s, b.s)) >= 0.75 * (a.n + b.n - len(list_intersect(a.s, b.s))))"""
+_PAIRS = f"""WITH {_SETS} SELECT a.field, a.id AS id_a, b.id AS id_b FROM m a JOIN m b ON a.field = b.field AND a.rep = b.rep AND a.id < b.id
+    UNION ALL SELECT p.field, least(x.id, y.id), greatest(x.id, y.id) FROM p JOIN m x ON x.field = p.field AND x.rep = p.a JOIN m y ON y.field = p.field AND y.rep = p.b"""
+_GROUPS = f"""WITH {_SETS}, l AS (SELECT field, rep, count(*) AS links FROM (SELECT field, a AS rep FROM p UNION ALL SELECT field, b FROM p) GROUP BY field, rep)
+    SELECT m.id, m.rep AS class_id, m.copies, coalesce(l.links, 0) AS links, m.field FROM m LEFT JOIN l ON l.field = m.field AND l.rep = m.rep"""
+
+_WS = "\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_BREAK = "\\n\\r\\x0b\\x0c\\x{85}\\x{2028}\\x{2029}"
+
+
+def _longest(marks: str | None) -> str:
+    """Length of the longest part when text is cut at white space after marks and at line breaks, or at any white space."""
+    cut_text = f"regexp_replace(text, '[{_WS}]+', chr(1), 'g')"
+    if marks:
+        cut_text = f"regexp_replace(regexp_replace(text, '([{marks}])[{_WS}]+', '\\1' || chr(1), 'g'), '[{_WS}]*[{_BREAK}][{_WS}]*', chr(1), 'g')"
+    return f"list_max(list_transform(string_split({cut_text}, chr(1)), lambda x: length(regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g'))))"
+
+
+_OVERSIZED = f"""SELECT kind, item_id, CASE WHEN {_longest('.!?;')} <= most THEN 'sentence' WHEN {_longest('.!?;,|:')} <= most THEN 'clause' WHEN {_longest(None)} <= most THEN 'space' ELSE 'none' END AS boundary
+    FROM (SELECT 'segment' AS kind, segment_id AS item_id, text, 900 AS most FROM segments UNION ALL SELECT 'snippet', snippet_id, snippet_text, max_prompt_chars FROM snippets) WHERE most > 0 AND length(text) > most"""
+
+
 def oracle_sql() -> dict[str, str]:
     ranked = ", ".join(
         f"row_number() OVER (PARTITION BY cik, accession_number ORDER BY ({f} IS NULL), trust_rank NULLS LAST, scored_at DESC NULLS LAST, record_id DESC) AS r_{f}"
         for f in ("form_type", "ai_score", "year")
     )
     return {
+        "p4_found": _PAIRS, "p4_groups": _GROUPS, "p5_found": _OVERSIZED,
         "p2_found": f"""{_SCORED}, ranked AS (SELECT *, {ranked} FROM named)
             SELECT cik, accession_number, max(CASE WHEN r_form_type = 1 THEN form_type END) AS form_type,
                    max(CASE WHEN r_ai_score = 1 THEN ai_score END) AS ai_score, max(CASE WHEN r_year = 1 THEN year END) AS year
