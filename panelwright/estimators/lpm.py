@@ -33,7 +33,8 @@ def two_effects(df: DataFrame, y: str, xs: list[str], first: str, second: str, c
     Rows with a null in any of the columns are left out. The pass over the rows yields, per pair of effect levels, counts,
     sums and products; the normal equations are solved on the driver. A second pass sums scores by cluster and combines
     them to the sandwich. Factor: G / (G - 1) * (n - 1) / (n - K), K counting slopes and effect levels. A result has term,
-    estimate, std_error, statistic, p_value (normal), n and r2.
+    estimate, std_error, statistic, p_value (normal), n, r2, a 95 % interval (low, high) and within_r2, the share of what the
+    fixed effects leave.
     """
     names = [y, *xs]
     rows = df.dropna(subset=[*names, first, second, cluster])
@@ -84,10 +85,12 @@ def two_effects(df: DataFrame, y: str, xs: list[str], first: str, second: str, c
     total = sums.agg(F.count(F.lit(1)).alias("g"), F.sum("rss").alias("rss"), *(F.sum(F.col(f"g{q}") ** 2).alias(f"v{q}") for q in range(k))).first()
     g = total["g"]
     factor = g / (g - 1) * (n - 1) / max(1, n - rank) if g > 1 else float("nan")
+    # What is left of y within the effects alone.
+    within = float(yy - rhs[k:] @ np.linalg.pinv(gram[k:, k:]) @ rhs[k:])
     out = []
     for q, x in enumerate(xs):
         se = math.sqrt(total[f"v{q}"] * factor) if factor == factor else float("nan")
         z = float(beta[q]) / se if se else float("nan")
         tss = yy - sy * sy / n
-        out.append({"term": x, "estimate": float(beta[q]), "std_error": se, "statistic": z, "p_value": math.erfc(abs(z) / math.sqrt(2)) if z == z else float("nan"), "n": n, "r2": float(1 - total["rss"] / tss) if tss else float("nan")})
+        out.append({"term": x, "estimate": float(beta[q]), "std_error": se, "statistic": z, "p_value": math.erfc(abs(z) / math.sqrt(2)) if z == z else float("nan"), "n": n, "r2": float(1 - total["rss"] / tss) if tss else float("nan"), "low": float(beta[q] - 1.96 * se), "high": float(beta[q] + 1.96 * se), "within_r2": float(1 - total["rss"] / within) if within > 0 else float("nan")})
     return out

@@ -49,10 +49,15 @@ def att_dynamic_bands(spark, d):
     return spark.createDataFrame([tuple(e.values()) for e in effects], "event_time int, att double, se double, low double, high double")
 
 
-@add()
+_WITH_X = _SAMPLE.replace("ln(total_assets) AS y FROM", "ln(total_assets) AS y, che AS x FROM").replace("WHERE q = 1 AND", "WHERE q = 1 AND che IS NOT NULL AND").replace("a.y - b.y AS dy FROM", "a.y - b.y AS dy, b.x FROM").replace("SELECT g, t, dy, cohort = g AS tr", "SELECT g, t, dy, x, cohort = g AS tr")
+
+
+@add(f"""WITH {_WITH_X}, f AS (SELECT g, t, count(*) FILTER (WHERE tr) AS n_treated, count(*) FILTER (WHERE NOT tr) AS n_control, avg(dy) FILTER (WHERE tr) AS d1, avg(x) FILTER (WHERE tr) AS x1, avg(dy) FILTER (WHERE NOT tr) AS d0, avg(x) FILTER (WHERE NOT tr) AS x0,
+    covar_pop(dy, x) FILTER (WHERE NOT tr) AS c, var_pop(x) FILTER (WHERE NOT tr) AS v FROM c GROUP BY g, t)
+    SELECT CAST(g AS INT) AS g, CAST(t AS INT) AS t, n_treated, n_control, round(d1 - d0 - c / v * (x1 - x0), 6) AS att FROM f WHERE n_treated > 0 AND n_control > 2 AND v > 0""")
 def att_gt_adjusted(spark, d):
-    """Outcome regression on lagged covariates; tested against NumPy least squares."""
-    return D.att_gt_adjusted(_sample(spark, d, ["che"]))
+    """Outcome regression on a covariate of the earlier year."""
+    return rounded(D.att_gt_adjusted(_sample(spark, d, ["che"])))
 
 
 @add(f"WITH {_SAMPLE} SELECT CAST(g AS INT) AS g, CAST(t AS INT) AS t, n_treated, n_control, round(att, 6) AS att, round(se, 6) AS se FROM cells WHERE n_control > 1")
@@ -129,7 +134,7 @@ def lpm_two_fe(spark, d):
     """Two fixed effects and clustered errors; tested against NumPy dummies."""
     rows = L.risk_set(unique_panel(spark, d).filter("has_ai_history"), "year", "ai_adoption_year", 2016).select("firm", "year", "naics3", F.col("event").cast("double").alias("event"), (F.col("sale") / 1000).alias("sale"), (F.col("total_assets") / 1000).alias("assets"))
     out = L.two_effects(rows, "event", ["sale", "assets"], "year", "naics3", "firm")
-    return spark.createDataFrame([tuple(r.values()) for r in out], "term string, estimate double, std_error double, statistic double, p_value double, n long, r2 double")
+    return spark.createDataFrame([tuple(r.values()) for r in out], "term string, estimate double, std_error double, statistic double, p_value double, n long, r2 double, low double, high double, within_r2 double")
 
 
 def queries():

@@ -41,11 +41,13 @@ def storage_batches_prefix(spark, d):
     return rows.groupBy("processing_batch").agg(F.count(F.lit(1)).alias("n"), F.max("bytes_before").alias("most_before"))
 
 
-@add()
+@add("""WITH RECURSIVE o AS (SELECT processing_batch, accession_number, source_url, download_bytes, coalesce(download_bytes, 0) AS w, row_number() OVER (PARTITION BY processing_batch ORDER BY accession_number, source_url, download_bytes NULLS FIRST) AS i FROM filing_manifest WHERE processing_batch IS NOT NULL),
+    r AS (SELECT o.*, w AS used, 1 AS batch FROM o WHERE i = 1 UNION ALL SELECT o.*, CASE WHEN r.used >= 50000000 THEN o.w ELSE r.used + o.w END, CASE WHEN r.used >= 50000000 THEN r.batch + 1 ELSE r.batch END FROM r JOIN o ON o.processing_batch = r.processing_batch AND o.i = r.i + 1)
+    SELECT processing_batch, accession_number, source_url, download_bytes, CAST(batch AS INT) AS batch FROM r""")
 def storage_batches_all(spark, d):
-    """Greedy batches of every store; sequential, so tested against a plain loop instead of SQL."""
+    """Greedy batches of every store."""
     rows = table(spark, d, "filing_manifest").filter("processing_batch is not null").select("processing_batch", "accession_number", "source_url", "download_bytes")
-    return M.storage_batches(rows, "processing_batch", ["accession_number", "source_url"], "download_bytes", 50_000_000)
+    return M.storage_batches(rows, "processing_batch", ["accession_number", "source_url", "download_bytes"], "download_bytes", 50_000_000)
 
 
 @add("WITH u AS (SELECT DISTINCT accession_number FROM segments WHERE accession_number IS NOT NULL), n AS (SELECT accession_number, CAST((row_number() OVER (ORDER BY accession_number) - 1) // 100 + 1 AS INT) AS chunk_id FROM u) SELECT segment_id, chunk_id FROM segments LEFT JOIN n USING (accession_number)")

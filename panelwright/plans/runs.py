@@ -43,7 +43,7 @@ def spending_recodes(spark, d):
     return rounded(R.spending(table(spark, d, "analysis_panel"), "capx", "total_assets", "spent").select("panel_id", "spent", "spent_binary", "spent_intensity"))
 
 
-@add("SELECT panel_id, round(sale * ai_score, 2) AS sale_x, round(emp * ai_score, 2) AS emp_x, round(sale * (year - 2015), 2) AS sale_trend FROM analysis_panel")
+@add("SELECT panel_id, round(sale * ai_score, 2) + 0.0 AS sale_x, round(emp * ai_score, 2) + 0.0 AS emp_x, round(sale * (year - 2015), 2) + 0.0 AS sale_trend FROM analysis_panel")
 def interactions_and_trends(spark, d):
     rows = R.interactions(table(spark, d, "analysis_panel"), ["sale", "emp"], "ai_score", "_x")
     return rounded(R.trends(rows, ["sale"], "year", 2015).select("panel_id", "sale_x", "emp_x", "sale_trend"), 2)
