@@ -9,6 +9,7 @@ year t compare with the year before (t < g) or with g - 1; controls are the firm
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -22,6 +23,19 @@ def did_sample(panel: DataFrame, firm: str, year: str, cohort: str, outcome: str
     return kept.select(F.col(firm).alias("firm"), F.col(year).alias("year"), c.alias("cohort"), F.col(outcome).cast("double").alias("y"), *(F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(controls or [])))
 
 
+def sample_loss(panel: DataFrame, firm: str, year: str, cohort: str, outcome: str, controls: list[str] | None = None, first_cohort: int = 0) -> DataFrame:
+    """(step, rows, firms): what is left after each of the conditions of did_sample, one pass for all."""
+    known = lambda *cs: reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cs))
+    steps = [("all", F.lit(True)), ("keys", known(firm, year)), ("cohort", known(cohort)), ("outcome", known(outcome)), *([("controls", known(*controls))] if controls else []), ("first_cohort", (F.col(cohort) == 0) | (F.col(cohort) >= first_cohort))]
+    held, ands = [], F.lit(True)
+    for name, condition in steps:
+        ands = ands & F.coalesce(condition, F.lit(False))
+        held.append((name, ands))
+    firms = panel.groupBy(firm).agg(*(F.count_if(c).alias(n) for n, c in held))
+    sums = firms.agg(*(F.struct(F.lit(n).alias("step"), F.coalesce(F.sum(n), F.lit(0)).alias("rows"), F.count_if((F.col(n) > 0) & F.col(firm).isNotNull()).alias("firms")).alias(n) for n, _ in held))
+    return sums.select(F.inline(F.array(*(n for n, _ in held))))
+
+
 def changes(sample: DataFrame) -> DataFrame:
     """(firm, cohort, t, b, dy, x0..): change from an earlier year b of the same firm; covariates of the earlier year.
 

@@ -20,6 +20,12 @@ def risk_set(panel: DataFrame, year: str, cohort: str, first_cohort: int) -> Dat
     return kept.withColumn("event", (F.col(year) == c).cast("int"))
 
 
+def event_faults(risk: DataFrame, firm: str, cohort: str) -> DataFrame:
+    """(firm, events): treated firms of a risk set that don't have exactly one event; never treated ones that have any."""
+    events = risk.groupBy(firm).agg(F.sum("event").alias("events"), F.max(F.col(cohort) > 0).alias("__t"))
+    return events.filter(F.col("events") != F.col("__t").cast("int")).drop("__t")
+
+
 def one_effect_slope(df: DataFrame, y: str, x: str, effect: str) -> DataFrame:
     """(n, slope) of y on x within the levels of one fixed effect: ratio of the within-level sums of products."""
     known = df.filter(F.col(y).isNotNull() & F.col(x).isNotNull() & F.col(effect).isNotNull())

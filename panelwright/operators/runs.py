@@ -68,6 +68,22 @@ def process_chunk(df: DataFrame, row_id: str, snippet: str, hits: str, make: Cal
     return snippet_audit(out.drop("__score", "__status", "__attempts").withColumn("__limit", F.lit(limit)), snippet, "__limit").drop("__limit")
 
 
+def chunk_summary(done: DataFrame, chunk: str, score: str = "ai_score", status: str = "parse_status") -> DataFrame:
+    """One row per chunk of processed records: decisions, calls, retries, states, scores, lengths and the chunk's own state."""
+    c = F.col
+    decisions = ("empty_text", "zero_no_keyword", "call", "audit_call", "call_without_keyword")
+    states = ("success", "retry_success", "failed", "not_called")
+    called = c("llm_called")
+    out = done.groupBy(chunk).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("cik").alias("firms"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
+        *(F.count_if(c("decision") == x).alias(f"decision_{x}") for x in decisions), F.count_if(called).alias("called"), F.count_if(c("retry_attempted")).alias("retried"), F.coalesce(F.sum("endpoint_attempts"), F.lit(0)).alias("attempts"),
+        *(F.count_if(c(status) == x).alias(f"state_{x}") for x in states), *(F.count_if(c(score) == s).alias(f"score_{s}") for s in (1, 2, 3)), F.count_if(c(score).isNull()).alias("score_missing"), F.avg(score).alias("mean_score"),
+        F.avg(F.when(called, c(score))).alias("mean_called_score"), F.sum("keyword_hits").alias("hits"), F.max("keyword_hits").alias("most_hits"), F.sum("snippet_chars").alias("chars"), F.max("snippet_chars").alias("most_chars"), F.count_if(c("at_limit")).alias("at_limit"),
+    )
+    failed = c("state_failed")
+    return out.withColumns({"failure_share": F.try_divide(failed, c("called")), "state": F.when(failed == 0, "complete").when(failed < c("called"), "partial").otherwise("failed")})
+
+
 def failed_rows(done: DataFrame, called: str = "llm_called", status: str = "parse_status") -> DataFrame:
     """Rows of an earlier output that were sent and came back without a usable score."""
     return done.filter(F.coalesce(F.col(called), F.lit(True)) & ~F.coalesce(F.col(status), F.lit("")).isin(*SCORED))

@@ -196,9 +196,9 @@ def duplicate_firm_years(spark, d):
     return C.duplicate_keys(panel(spark, d), ["firm", "fyear"])
 
 
-@add(f"WITH {SQL_PANEL}, c AS (SELECT firm, count(DISTINCT naics2) AS a, count(DISTINCT exchg) AS b FROM panel WHERE firm IS NOT NULL GROUP BY firm) SELECT firm, 'naics2' AS \"column\", a AS \"values\" FROM c WHERE a > 1 UNION ALL SELECT firm, 'exchg', b FROM c WHERE b > 1")
+@add(f"WITH {SQL_PANEL}, c AS (SELECT firm, count(DISTINCT naics2) AS a, count(DISTINCT emp) AS b, count(DISTINCT indfmt) AS e FROM panel WHERE firm IS NOT NULL GROUP BY firm) SELECT firm, 'naics2' AS \"column\", a AS \"values\" FROM c WHERE a > 1 UNION ALL SELECT firm, 'emp', b FROM c WHERE b > 1 UNION ALL SELECT firm, 'indfmt', e FROM c WHERE e > 1")
 def varying_covariates(spark, d):
-    return C.varying_within(panel(spark, d), "firm", ["naics2", "exchg"])
+    return C.varying_within(panel(spark, d), "firm", ["naics2", "emp", "indfmt"])
 
 
 @add(f"""WITH {SQL_PANEL}, a AS (SELECT DISTINCT firm FROM panel), b AS (SELECT DISTINCT {sql_key('cik')} AS firm FROM scored_filings)

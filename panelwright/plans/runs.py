@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.estimators import did as D
+from panelwright.estimators import lpm as L
 from panelwright.functions import exprs as X
 from panelwright.operators import grid as G
 from panelwright.operators import manifest as M
@@ -13,7 +14,8 @@ from panelwright.operators import runs as U
 from panelwright.operators import scoring as S
 from panelwright.operators import text as W
 from panelwright.plans import estimates as E
-from panelwright.plans.common import Registry, rounded, table
+from panelwright.plans.common import SQL_PANEL, SQL_UNIQUE, Registry, panel, rounded, table, unique_panel
+from panelwright.plans.text import _WIN, PLAIN
 
 registry = Registry()
 add = registry.add
@@ -166,6 +168,40 @@ def processed_chunk_report(spark, d):
     return rounded(S.chunk_report(done.withColumn("state", state), "chunk_id", "state", "ai_score").select("chunk_id", "rows", "failed", "mean_score"))
 
 
+@add(f"""SELECT chunk_id, count(*) AS rows, count(DISTINCT cik) AS firms, CAST(min(year) AS INT) AS first_year, CAST(max(year) AS INT) AS last_year, count(*) FILTER (WHERE decision = 'empty_text') AS decision_empty_text, count(*) FILTER (WHERE decision = 'zero_no_keyword') AS decision_zero_no_keyword, count(*) FILTER (WHERE decision = 'call') AS decision_call,
+    count(*) FILTER (WHERE decision = 'call') AS called, count(*) FILTER (WHERE decision = 'call' AND s1 IS NULL) AS retried, CAST(coalesce(sum(CASE WHEN decision = 'call' THEN CASE WHEN s1 IS NULL THEN 2 ELSE 1 END ELSE 0 END), 0) AS BIGINT) AS attempts, count(*) FILTER (WHERE decision = 'call' AND s1 IS NULL AND s2 IS NULL) AS state_failed,
+    count(*) FILTER (WHERE sc = 1) AS score_1, count(*) FILTER (WHERE sc = 2) AS score_2, count(*) FILTER (WHERE sc = 3) AS score_3, count(*) FILTER (WHERE sc IS NULL) AS score_missing, round(avg(sc), 6) AS mean_score, round(avg(sc) FILTER (WHERE decision = 'call'), 6) AS mean_called_score, CAST(sum(keyword_hits) AS BIGINT) AS hits,
+    CAST(sum(coalesce(length(snippet_text), 0)) AS BIGINT) AS chars, CAST(max(coalesce(length(snippet_text), 0)) AS INT) AS most_chars, count(*) FILTER (WHERE length(snippet_text) >= 2000) AS at_limit,
+    CASE WHEN count(*) FILTER (WHERE decision = 'call' AND s1 IS NULL AND s2 IS NULL) = 0 THEN 'complete' WHEN count(*) FILTER (WHERE decision = 'call' AND s1 IS NULL AND s2 IS NULL) < count(*) FILTER (WHERE decision = 'call') THEN 'partial' ELSE 'failed' END AS state
+    FROM (SELECT *, CASE decision WHEN 'zero_no_keyword' THEN 1 WHEN 'call' THEN coalesce(s1, s2) END AS sc FROM ({_CHUNK})) GROUP BY chunk_id""")
+def chunk_summaries(spark, d):
+    rows = table(spark, d, "snippets").select("snippet_id", "cik", "year", "chunk_id", "snippet_text", "keyword_hits")
+    done = U.process_chunk(rows, "snippet_id", "snippet_text", "keyword_hits", _stub, last_year=2020, limit=2000)
+    out = rounded(U.chunk_summary(done, "chunk_id"))
+    return out.drop("decision_audit_call", "decision_call_without_keyword", "state_success", "state_retry_success", "state_not_called", "most_hits", "failure_share")
+
+
+@add(f"WITH {_WIN} SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 0 THEN 'skipped_valid' WHEN n > 0 THEN 'extracted' ELSE 'no_keyword' END AS state, CAST(CASE WHEN d.doc_id % 10 = 0 THEN 0 ELSE coalesce(n, 0) END AS INT) AS windows FROM (SELECT doc_id FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^ -~]|[&<]')) d LEFT JOIN (SELECT doc_id, count(*) AS n FROM uni GROUP BY doc_id) u USING (doc_id)")
+def extraction_states(spark, d):
+    """Plain texts, which reading as a document leaves as they are but for white space."""
+    rows = table(spark, d, "documents").filter(~F.coalesce("text", F.lit("")).rlike("[^ -~]|[&<]"))
+    return W.extraction_states(rows, "doc_id", "text", PLAIN, rows.filter("doc_id % 10 = 0")).select("doc_id", "state", "windows")
+
+
+@add(f"""WITH {SQL_UNIQUE}, r AS (SELECT firm, ai_adoption_year AS g, CAST(year = ai_adoption_year AS INT) AS event FROM uniq WHERE ai_adoption_year IS NOT NULL AND (ai_adoption_year = 0 OR (ai_adoption_year >= 2016 AND year <= ai_adoption_year)))
+    SELECT firm, CAST(sum(event) AS BIGINT) AS events FROM r GROUP BY firm HAVING sum(event) <> CAST(max(g) > 0 AS INT)""")
+def event_faults(spark, d):
+    return L.event_faults(L.risk_set(unique_panel(spark, d), "year", "ai_adoption_year", 2016), "firm", "ai_adoption_year")
+
+
+_KEPT = ["TRUE", "firm IS NOT NULL AND year IS NOT NULL", "ai_adoption_year IS NOT NULL", "sale IS NOT NULL", "emp IS NOT NULL AND che IS NOT NULL", "(ai_adoption_year = 0 OR ai_adoption_year >= 2016)"]
+
+
+@add(f"WITH {SQL_PANEL} " + " UNION ALL ".join(f"SELECT '{n}' AS step, count(*) AS rows, count(DISTINCT firm) AS firms FROM panel WHERE {' AND '.join(_KEPT[: i + 1])}" for i, n in enumerate(("all", "keys", "cohort", "outcome", "controls", "first_cohort"))))
+def sample_losses(spark, d):
+    return D.sample_loss(panel(spark, d), "firm", "year", "ai_adoption_year", "sale", ["emp", "che"], 2016)
+
+
 _BAD = "coalesce(llm_processed, TRUE) AND coalesce(parse_status, '') NOT IN ('success', 'retry_success')"
 
 
