@@ -62,6 +62,19 @@ def stratified_sample(spark, d):
     return M.stratified_sample(rows, "form_type", "year", "row_id", 300, "sample-1").select("cik", "accession_number", "form_type", "year")
 
 
+@add()
+def unseen_firm_sample(spark, d):
+    """The same with firms not chosen before first; tested against a plain loop."""
+    rows = table(spark, d, "filing_manifest").groupBy("cik", "accession_number").agg(F.min("form_type").alias("form_type"), F.min("year").alias("year")).withColumn("row_id", F.concat_ws("|", "cik", "accession_number"))
+    return M.stratified_sample(rows, "form_type", "year", "row_id", 300, "sample-1", unit="cik")
+
+
+@add("WITH p AS (SELECT cik, min(filing_year) AS a, max(filing_year) AS b FROM filing_manifest GROUP BY cik) SELECT cik, a || '-01-01' AS first, b || '-12-31' AS last FROM p WHERE (a <= 2006 AND b >= 2006) OR (a <= 2023 AND b >= 2023)")
+def relevant_pages(spark, d):
+    pages = table(spark, d, "filing_manifest").groupBy("cik").agg(F.concat(F.min("filing_year"), F.lit("-01-01")).alias("first"), F.concat(F.max("filing_year"), F.lit("-12-31")).alias("last"))
+    return M.relevant_pages(pages, spark.createDataFrame([(2006,), (2023,)], "year int"), "first", "last", "filing_date")
+
+
 @add("SELECT doc_id, CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT AS DOUBLE) / 18446744073709551616.0 < 0.1 AS chosen FROM documents")
 def stable_hash_sample(spark, d):
     return table(spark, d, "documents").select("doc_id", (X.hash_fraction(F.col("doc_id").cast("string")) < 0.1).alias("chosen"))

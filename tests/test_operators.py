@@ -133,6 +133,40 @@ def test_quotas_and_sample(spark):
     assert len(one) == 30 and one == rows(M.stratified_sample(df.repartition(7), "form", "y", "id", 30, "s"), "id")
 
 
+def test_sample_prefers_unseen_units(spark):
+    """Against a plain loop over the strata."""
+    import hashlib
+    import random
+
+    rng = random.Random(6)
+    data = [(f"r{i}", f"u{min(rng.randint(0, 60), 25)}", rng.choice(["a", "b"]), 2000 + rng.randint(0, 3)) for i in range(500)]
+    df = spark.createDataFrame(data, "id string, u string, form string, y int")
+    got = {r["id"] for r in M.stratified_sample(df, "form", "y", "id", 40, "s", unit="u").collect()}
+    forms = greedy_quotas({f: sum(r[2] == f for r in data) for f in "ab"}, 40)
+    want, used = set(), set()
+    for f in "ab":
+        years = sorted({r[3] for r in data if r[2] == f})
+        for y, n in greedy_quotas({y: sum(r[2:] == (f, y) for r in data) for y in years}, forms[f]).items():
+            pool = sorted((r for r in data if r[2:] == (f, y)), key=lambda r: (hashlib.sha256(f"s|{r[0]}".encode()).hexdigest(), r[0]))
+            mine = []
+            for fresh in (True, False):
+                for r in pool:
+                    if len(mine) < n and r not in mine and (not fresh or r[1] not in used):
+                        mine.append(r)
+                        used.add(r[1])
+            want |= {r[0] for r in mine}
+    assert got == want and len(got) == 40
+
+
+def test_history_pages(spark):
+    pages = spark.createDataFrame([("1", "p1", "2001-01-01", "2004-01-01"), ("1", "p2", "2010-01-01", "2012-01-01"), ("2", "p3", None, "x")], "cik string, page string, a string, b string")
+    years = spark.createDataFrame([(2003,)], "y int")
+    assert {r["page"] for r in M.relevant_pages(pages, years, "a", "b", "filing_date").collect()} == {"p1", "p3"} and M.relevant_pages(pages, years, "a", "b").count() == 3
+    assert M.require_pages(pages, pages, ["page"]).count() == 3
+    with pytest.raises(C.ContractError, match="p2"):
+        M.require_pages(pages, pages.filter("page <> 'p2'"), ["page"])
+
+
 def test_chunks_never_divide_a_unit(spark):
     df = spark.createDataFrame([(f"u{i // 3:03d}", i) for i in range(60)], "u string, i int")
     got = M.chunk_numbers(df, "u", 4).groupBy("u").agg(F.count_distinct("chunk_id").alias("n"), F.max("chunk_id").alias("c")).collect()
