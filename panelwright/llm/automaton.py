@@ -168,3 +168,19 @@ class Transducer:
             live, total, left = live[keep], total[keep], left[keep]
             node, at = self.base[slot[keep]], at[keep] + 1
         return found
+
+
+class Chain:
+    """Two transducers as one: the second is asked for what the first doesn't hold."""
+
+    def __init__(self, first: Transducer, second: Transducer):
+        self.first, self.second = first, second
+        self.where = np.concatenate([first.where[:-1], second.where + len(first.pool)])
+        self.pool = np.concatenate([first.pool, second.pool])
+
+    def find(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        found = self.first.find(data, begin, length)
+        open_words = np.flatnonzero(found < 0)
+        got = self.second.find(data, begin[open_words], length[open_words])
+        found[open_words] = np.where(got >= 0, got + len(self.first.where) - 1, -1)
+        return found

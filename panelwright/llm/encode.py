@@ -13,7 +13,7 @@ import functools
 import hashlib
 import itertools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.llm.arrays import SPACE, Chunk, chunks, class_table, ragged_index, run_hashes
-from panelwright.llm.automaton import Transducer
+from panelwright.llm.automaton import Chain, Transducer
 from panelwright.session import cut, discard, local_path, shared_dir
 
 TOKENIZER = "byte_bpe_50k"
@@ -109,7 +109,7 @@ def split_words(chunk: Chunk) -> np.ndarray:
 class Encoder:
     """A worker's encoder of one tokenizer and lexicon."""
 
-    def __init__(self, ranks_path: str, lexicon: Transducer):
+    def __init__(self, ranks_path: str, lexicon: Transducer | Chain):
         self.lexicon, self.merge, self.memo = lexicon, merger(ranks_path), {}
 
     def _words(self, chunk: Chunk):
@@ -190,52 +190,59 @@ def whole_words(ranks_path: str) -> dict[bytes, list[int]]:
 
 @dataclasses.dataclass
 class Lexicon:
-    """Where workers find the compiled lexicon: a file to map into memory, or a broadcast copy where the shared folder isn't
-    a mounted file system. Its size is bounded by the vocabulary and top words."""
+    """Where workers find the compiled lexicon: files to map into memory, or broadcast copies where the shared folder isn't a
+    mounted file system. The first is the tokenizer's own, the second, if any, that of a corpus. Their size is bounded by the
+    vocabulary and top words."""
 
     key: str
-    path: str | None
-    copy: Broadcast | None = None
+    parts: list[str | Broadcast]
 
-    def open(self) -> Transducer:
-        return Transducer.map(self.path) if self.path else self.copy.value
+    def open(self) -> Transducer | Chain:
+        found = [Transducer.map(p) if isinstance(p, str) else p.value for p in self.parts]
+        return found[0] if len(found) == 1 else Chain(*found)
+
+
+def _compiled(spark: SparkSession, key: str, entries: Callable[[], dict[bytes, list[int]]]) -> str | Broadcast:
+    """The transducer of the entries, as a file of the shared folder made once per key, else broadcast."""
+    path = local_path(f"{shared_dir(spark)}/lexicon-{key}.bin")
+    if path is None:
+        return spark.sparkContext.broadcast(Transducer.build(entries()))
+    if not os.path.exists(path):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        Transducer.build(entries()).save(path)
+    return path
 
 
 def build_lexicon(spark: SparkSession, ranks_path: str, frequent: DataFrame | None = None, top: int = TOP_WORDS) -> Lexicon:
-    """Compile the lexicon, into a file of the shared folder once per content.
+    """Compile the lexicon, into files of the shared folder once per content.
 
     frequent (word, count): further words, of which at most the top most counted are compiled with their exact ids; no more
     rows reach the driver.
     """
     with open(ranks_path, "rb") as ranks:
         digest = hashlib.sha256(ranks.read())
-    words: list[bytes] = []
-    if frequent is not None:
-        frequent = cut(frequent, "words")
-        # The least count of which at most top words have it or more, by steps of a sixteenth of a power of two.
-        step = F.floor(F.log2("count") * 16).cast("int")
-        left, least = top, None
-        for r in frequent.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-            left -= r["count"]
-            if left < 0:
-                break
-            least = r["step"]
-        if least is not None:
-            rows = frequent.filter(step >= least).select("word").toArrow().column(0).to_pylist()
-            words = sorted(w for w in rows if len(w) <= 64)
-        discard(frequent)
-        digest.update(b"\0".join(words))
     key = digest.hexdigest()[:24]
-    path = local_path(f"{shared_dir(spark)}/lexicon-{key}.bin")
-    if path and os.path.exists(path):
-        return Lexicon(key, path)
+    own = _compiled(spark, key, lambda: whole_words(ranks_path))
+    if frequent is None:
+        return Lexicon(key, [own])
+    frequent = cut(frequent, "words")
+    # The least count of which at most top words have it or more, by steps of a sixteenth of a power of two.
+    step = F.floor(F.log2("count") * 16).cast("int")
+    left, least, words = top, None, []
+    for r in frequent.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    if least is not None:
+        rows = frequent.filter(step >= least).select("word").toArrow().column(0).to_pylist()
+        words = sorted(w for w in rows if 0 < len(w) <= 64)
+    discard(frequent)
+    if not words:
+        return Lexicon(key, [own])
+    digest.update(b"\0".join(words))
     merge = merger(ranks_path)
-    built = Transducer.build(whole_words(ranks_path) | {w: list(merge(w)) for w in words})
-    if path is None:
-        return Lexicon(key, None, spark.sparkContext.broadcast(built))
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    built.save(path)
-    return Lexicon(key, path)
+    return Lexicon(digest.hexdigest()[:24], [own, _compiled(spark, digest.hexdigest()[:24], lambda: {w: list(merge(w)) for w in words})])
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
