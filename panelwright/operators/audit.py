@@ -54,10 +54,11 @@ def audit_windows(df: DataFrame, key: str, text: str, patterns: dict[str, str],
     Neighbours are taken from the text's array of sentences before it becomes rows, so nothing is shuffled.
     """
     texts = df.select(key, sentences_of(text, split).alias("__s"))
-    rows = texts.select(key, "__s", F.posexplode("__s").alias("sentence_index", "sentence"))
-    rows = rows.filter(F.col("sentence").rlike(patterns["strong"]) | F.col("sentence").rlike(patterns["broad"]))
-    first = F.greatest(F.col("sentence_index") - 1, F.lit(0))
-    rows = rows.withColumn("window", F.concat_ws(" ", F.slice("__s", first + 1, F.col("sentence_index") + 2 - first))).drop("__s")
+    numbered = F.transform("__s", lambda x, i: F.struct(i.alias("sentence_index"), x.alias("sentence")))
+    candidates = F.filter(numbered, lambda c: F.rlike(c["sentence"], F.lit(patterns["strong"])) | F.rlike(c["sentence"], F.lit(patterns["broad"])))
+    at = lambda i: F.get("__s", i)
+    windows = F.transform(candidates, lambda c: F.struct(c["sentence_index"].alias("sentence_index"), c["sentence"].alias("sentence"), F.concat_ws(" ", at(c["sentence_index"] - 1), c["sentence"], at(c["sentence_index"] + 1)).alias("window")))
+    rows = texts.select(key, F.inline(windows))
     rows = rows.withColumns({f"{p}_hits": F.regexp_count("window", F.lit(patterns[p])) for p in ("strong", "broad", "operational", "first_person", "low_value")})
     rows = rows.withColumns({"adoption": F.col("window").rlike(patterns["adoption"]), "market": F.col("window").rlike(patterns["market"])})
     has = {p: F.col(f"{p}_hits") > 0 for p in ("strong", "broad", "operational", "first_person", "low_value")}
