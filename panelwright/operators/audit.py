@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.session import spread
+
 #: Names of the patterns that audit_windows takes; values are Java regular expressions, case ignored by (?i).
 PATTERNS = ("strong", "broad", "operational", "first_person", "low_value", "adoption", "market")
 
@@ -53,12 +55,14 @@ def audit_windows(df: DataFrame, key: str, text: str, patterns: dict[str, str],
 
     Neighbours are taken from the text's array of sentences before it becomes rows, so nothing is shuffled.
     """
-    texts = df.select(key, sentences_of(text, split).alias("__s"))
-    numbered = F.transform("__s", lambda x, i: F.struct(i.alias("sentence_index"), x.alias("sentence")))
-    candidates = F.filter(numbered, lambda c: F.rlike(c["sentence"], F.lit(patterns["strong"])) | F.rlike(c["sentence"], F.lit(patterns["broad"])))
-    at = lambda i: F.get("__s", i)
-    windows = F.transform(candidates, lambda c: F.struct(c["sentence_index"].alias("sentence_index"), c["sentence"].alias("sentence"), F.concat_ws(" ", at(c["sentence_index"] - 1), c["sentence"], at(c["sentence_index"] + 1)).alias("window")))
-    rows = texts.select(key, F.inline(windows))
+    texts = spread(df.select(key, text)).select(key, sentences_of(text, split).alias("__s"))
+    # Each sentence between its neighbours: the same array moved by one either way, zipped.
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("__s"))
+    after = F.slice("__s", F.lit(2), F.greatest(F.size("__s") - 1, F.lit(0)))
+    rows = texts.select(key, F.posexplode(F.arrays_zip(before.alias("before"), F.col("__s").alias("sentence"), after.alias("after"))).alias("sentence_index", "__z"))
+    rows = rows.select(key, "sentence_index", F.col("__z.sentence").alias("sentence"), F.col("__z.before").alias("__b"), F.col("__z.after").alias("__a"))
+    rows = rows.filter(F.col("sentence").rlike(patterns["strong"]) | F.col("sentence").rlike(patterns["broad"]))
+    rows = rows.select(key, "sentence_index", "sentence", F.concat_ws(" ", "__b", "sentence", "__a").alias("window"))
     rows = rows.withColumns({f"{p}_hits": F.regexp_count("window", F.lit(patterns[p])) for p in ("strong", "broad", "operational", "first_person", "low_value")})
     rows = rows.withColumns({"adoption": F.col("window").rlike(patterns["adoption"]), "market": F.col("window").rlike(patterns["market"])})
     has = {p: F.col(f"{p}_hits") > 0 for p in ("strong", "broad", "operational", "first_person", "low_value")}
