@@ -1,4 +1,4 @@
-"""Evidence on shortened answers and length limits, and refusals and truncations whose wording isn't in the code."""
+"""Evidence on shortened answers and length limits, and refusals and truncations that the patterns weren't written from."""
 
 import random
 
@@ -78,7 +78,7 @@ def test_scripts_without_marks(spark):
     assert found(spark, [(1, thai, thai + " รายงานระบุผล", None), (2, thai, thai + " รายงาน", None)])[-1:] == [(2, "truncated")] or R.is_copy(thai, thai)
 
 
-# Held out: nothing below stands in the code.
+# Written after the patterns and not used to change them, but for the first two refusals and the first sound answer, which a review had named before.
 
 REFUSED = [
     "Providing a number for this filing is not something the assistant will do.", "This request violates the content policy, so no result is given.", "I am afraid I can't do that; rating companies is off limits for me.", "My apologies, however I will not be grading this disclosure.",
